@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, language_id
+from . import jaccard_join, language_id, mixing, pii
 from .shared import held_out, table
 
 
@@ -32,11 +32,25 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced, and the number of entities replaced."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.surrogates(docs, count="n_entities")
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every document in the mix of all sources, weighted by the square root of their sizes."""
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_pii_surrogates": op3_pii_surrogates,
+    "op6_mixing": op6_mixing,
     "op8_language_id": op8_language_id,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLES: dict[str, str] = {
+    "op6_mixing": mixing.ORACLE_SQL,
     "op10_jaccard_join": jaccard_join.ORACLE_SQL,
 }
