@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, language_id, mixing, pii
+from . import jaccard_join, language_id, mixing, packing, pii
 from .shared import held_out, table
 
 
@@ -38,6 +38,11 @@ def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.surrogates(docs, count="n_entities")
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut and packed into sequences of at most 4096 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every document in the mix of all sources, weighted by the square root of their sizes."""
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
@@ -45,6 +50,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pii_surrogates": op3_pii_surrogates,
+    "op5_packing": op5_packing,
     "op6_mixing": op6_mixing,
     "op8_language_id": op8_language_id,
     "op10_jaccard_join": op10_jaccard_join,
