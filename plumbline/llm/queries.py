@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, language_id, mixing, packing, pii
+from . import jaccard_join, language_id, mixing, packing, pii, quality
 from .shared import held_out, table
 
 
@@ -18,6 +18,14 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from the labelled documents that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
+    scored = quality.score(docs, quality.learn(docs, labels))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the documents that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -49,6 +57,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_crf": op1_quality_crf,
     "op3_pii_surrogates": op3_pii_surrogates,
     "op5_packing": op5_packing,
     "op6_mixing": op6_mixing,
