@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, language_id, mixing, packing, pii, quality
+from . import ann, jaccard_join, language_id, mixing, packing, pii, quality
 from .shared import held_out, table
 
 
@@ -40,6 +40,11 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found, by inner product, for every vector whose id is divisible by 20."""
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data replaced, and the number of entities replaced."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -58,6 +63,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_crf": op1_quality_crf,
+    "op2_ann": op2_ann,
     "op3_pii_surrogates": op3_pii_surrogates,
     "op5_packing": op5_packing,
     "op6_mixing": op6_mixing,
