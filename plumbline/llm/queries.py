@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, jaccard_join, language_id, mixing, packing, pii, quality
+from . import ann, html_extract, jaccard_join, language_id, mixing, packing, pii, quality
 from .shared import held_out, table
 
 
@@ -51,6 +51,11 @@ def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.surrogates(docs, count="n_entities")
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document cut and packed into sequences of at most 4096 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_crf": op1_quality_crf,
     "op2_ann": op2_ann,
     "op3_pii_surrogates": op3_pii_surrogates,
+    "op4_html_extract": op4_html_extract,
     "op5_packing": op5_packing,
     "op6_mixing": op6_mixing,
     "op8_language_id": op8_language_id,
