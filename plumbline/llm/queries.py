@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html_extract, jaccard_join, language_id, mixing, packing, pii, quality
+from . import ann, fingerprint, html_extract, jaccard_join, language_id, mixing, packing, pii, quality
 from .shared import held_out, table
 
 
@@ -26,6 +26,11 @@ def op1_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and of its edited text, and their likenesses."""
+    return fingerprint.compare(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the documents that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_html_extract": op4_html_extract,
     "op5_packing": op5_packing,
     "op6_mixing": op6_mixing,
+    "op7_fingerprint": op7_fingerprint,
     "op8_language_id": op8_language_id,
     "op10_jaccard_join": op10_jaccard_join,
 }
