@@ -92,19 +92,20 @@ def _children(level: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            reps, parents, found = [], [], []
-            for rep, keys, raw in zip(batch.column("rep").to_pylist(), batch.column("keys").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
+            reps, parents, sizes, found = [], [], [], []
+            for rep, buckets, raw in zip(batch.column("rep").to_pylist(), batch.column("buckets").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
                 tokens = np.frombuffer(raw, U)
                 bound = _rate(np.array([len(tokens)]))[0]
-                for key in keys:
+                for key, size in ((x["key"], x["size"]) for x in buckets):
                     own = mix(np.array([key], np.int64).view(U) + _seed(3, level))[0]
                     h = mix(tokens ^ own)
                     drawn = mix(h[h <= bound] + own).view(np.int64)
                     found.append(drawn)
                     reps.append(np.full(len(drawn), rep, np.int64))
                     parents.append(np.full(len(drawn), key, np.int64))
+                    sizes.append(np.full(len(drawn), size, np.int64))
             if reps:
-                yield pa.RecordBatch.from_pydict({"rep": np.concatenate(reps), "parent": np.concatenate(parents), "key": np.concatenate(found)})
+                yield pa.RecordBatch.from_pydict({"rep": np.concatenate(reps), "parent": np.concatenate(parents), "parent_size": np.concatenate(sizes), "key": np.concatenate(found)})
 
     return run
 
@@ -220,13 +221,15 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     for level in range(LEVELS):
         if large.isEmpty():
             break
-        asked = large.groupBy("rep").agg(F.collect_list("key").alias("keys")).join(sets.select("rep", "tokens"), "rep")
-        drawn = asked.mapInArrow(_children(level), "rep long, parent long, key long")
+        if level == LEVELS - 1:
+            leaves = leaves.union(large)
+            break
+        asked = large.groupBy("rep").agg(F.collect_list(F.struct("key", "size")).alias("buckets")).join(sets.select("rep", "tokens"), "rep")
+        drawn = asked.mapInArrow(_children(level), "rep long, parent long, parent_size long, key long")
         drawn = materialise(_counted(drawn), "children")
-        dense = drawn.groupBy(F.col("parent").alias("key")).agg(F.max("size").alias("most"))
-        parents = large.join(dense, "key", "left").withColumn("dense", F.coalesce(F.col("most") * 2 >= F.col("size"), F.lit(False)) | F.lit(level == LEVELS - 1))
-        stays = parents.where("dense").select("key", "rep", "size")
-        split = drawn.join(stays.select(F.col("key").alias("parent")).distinct(), "parent", "left_anti").select("key", "rep", "size")
+        dense = drawn.groupBy(F.col("parent").alias("key")).agg((F.max("size") * 2 >= F.first("parent_size")).alias("dense")).where("dense").select("key")
+        stays = large.join(dense, "key", "left_semi")
+        split = drawn.join(dense.withColumnRenamed("key", "parent"), "parent", "left_anti").select("key", "rep", "size")
         leaves = leaves.union(stays).union(split.where(F.col("size") <= SMALL))
         large = materialise(split.where(F.col("size") > SMALL), "large")
     leaves = materialise(leaves, "leaves")
