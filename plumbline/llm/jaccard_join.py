@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from . import arrays
 from .arrays import U, mix
 from .components import components
-from .shared import materialise
+from .shared import discard, materialise
 
 #: Words a shingle; similarity as a fraction; runs; common children at each level; sets compared outright; levels; block.
 WORDS, THRESHOLD, RUNS, BRANCH, SMALL, LEVELS, BLOCK = 5, (4, 5), 8, 2.0, 200, 4, 512
@@ -246,6 +246,7 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     joined = needed.join(sets.select("rep", "copies", "tokens"), "rep")
     compared = joined.select(*[x.split()[0] for x in member.split(", ")], "copies", "tokens").repartition("gkey").sortWithinPartitions("gkey", "key")
     compared = materialise(compared.mapInArrow(_compared, "rep long, links long, root long"), "compared")
+    discard(sets, leaves, members)
 
     links = compared.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(compared.select(F.col("rep").alias("u"), F.col("root").alias("v")))
@@ -255,6 +256,13 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
+def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without the rows that a similar or equal row with a smaller id, over any number of links, stands for."""
+    others = jaccard_join(docs, doc_id, text).where("class_id < doc_id").select(F.col("doc_id").alias("__other"))
+    others = materialise(others, "others")
+    return docs.join(others, F.col(doc_id) == F.col("__other"), "left_anti")
+
+
 ORACLE_SQL = """
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ \\t\\n\\r\\x0b\\x0c]+'), lambda x: x <> '') AS w FROM documents),

@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -198,40 +199,67 @@ def learn(docs: DataFrame, pieces: list[str], text: str = "text", lang: str = "l
     return languages, model / model.sum(axis=0, keepdims=True) if languages else model
 
 
+class Predictor:
+    """Scores texts; remembers the words it has scored."""
+
+    def __init__(self, pieces: list[str], languages: list[str], model: np.ndarray, most: int = 400_000):
+        self.lattice, self.names, self.model, self.most = Lattice(pieces), languages, model, most
+        self.known: dict[str, int] = {}
+        self.scores = np.zeros((0, len(languages)))
+
+    def texts(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """The language of each text, or `und`, and its posterior."""
+        per_text = [_words(t) for t in texts]
+        lengths = np.array([len(x) for x in per_text])
+        flat = [w for x in per_text for w in x]
+        if not flat or not self.names:
+            return ["und"] * len(texts), np.zeros(len(texts))
+        codes, unique = pd.factorize(np.array(flat, object))
+        if len(self.known) > self.most:
+            self.known, self.scores = {}, self.scores[:0]
+        new = [w for w in unique if w not in self.known]
+        if new:
+            self.known.update(zip(new, range(len(self.scores), len(self.scores) + len(new)), strict=True))
+            self.scores = np.concatenate([self.scores, self.lattice.score(new, self.model)])
+        rows = np.fromiter((self.known[w] for w in unique), np.int64, len(unique))[codes]
+        owner = np.repeat(np.arange(len(texts)), lengths)
+        total = np.stack([np.bincount(owner, self.scores[rows, k], len(texts)) for k in range(len(self.names))], 1)
+        best = total.argmax(1)
+        post = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
+        some = lengths > 0
+        return [self.names[b] if s else "und" for b, s in zip(best, some, strict=True)], np.where(some, post, 0.0)
+
+
 def identify(docs: DataFrame, languages: list[str], model: np.ndarray, pieces: list[str], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, lang_pred and score (posterior of that language) for every row."""
     shared = docs.sparkSession.sparkContext.broadcast((pieces, languages, model))
-    schema = docs.select(doc_id).schema.simpleString()[7:-1] + ", lang_pred string, score double"
+    kind = docs.schema[doc_id].dataType.simpleString()
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_pieces, names, probs = shared.value
-        lattice = Lattice(own_pieces)
-        known: dict[str, int] = {}
-        scores = np.zeros((0, len(names)))
+        predictor = Predictor(*shared.value)
         for whole in batches:
             for lo in range(0, whole.num_rows, 500):
                 batch = whole.slice(lo, 500)
-                per_text = [_words(t) for t in batch.column(1).to_pylist()]
-                lengths = np.array([len(x) for x in per_text])
-                flat = [w for x in per_text for w in x]
-                codes, unique = pd.factorize(np.array(flat, object)) if flat else (np.zeros(0, int), [])
-                if len(known) > 400_000:
-                    known, scores = {}, np.zeros((0, len(names)))
-                new = [w for w in unique if w not in known]
-                if new:
-                    known.update(zip(new, range(len(scores), len(scores) + len(new)), strict=True))
-                    scores = np.concatenate([scores, lattice.score(new, probs)])
-                rows = np.fromiter((known[w] for w in unique), np.int64, len(unique))
-                owner = np.repeat(np.arange(len(per_text)), lengths)
-                total = np.zeros((len(per_text), len(names)))
-                for k in range(len(names)):
-                    total[:, k] = np.bincount(owner, scores[rows[codes], k], len(per_text)) if len(flat) else 0
-                best = total.argmax(1) if names else np.zeros(len(per_text), int)
-                post = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1) if names else np.zeros(len(per_text))
-                some = (lengths > 0) & bool(names)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([names[b] if s else "und" for b, s in zip(best, some, strict=True)]), pa.array(np.where(some, post, 0.0))],
-                    names=[doc_id, "lang_pred", "score"],
-                )
-
-    return docs.select(doc_id, F.col(text)).mapInArrow(predict, schema)
+                names, post = predictor.texts(batch.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(post)], names=["doc_id", "lang_pred", "score"])
+
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text)).mapInArrow(predict, f"doc_id {kind}, lang_pred string, score double")
+
+
+def accept(docs: DataFrame, languages: list[str], model: np.ndarray, pieces: list[str], least: float = 0.5, text: str = "text", lang: str = "lang") -> DataFrame:
+    """docs without the rows whose language cannot be told (`und`, or a posterior under `least`); a null language gets the prediction."""
+    shared = docs.sparkSession.sparkContext.broadcast((pieces, languages, model))
+    at_text, at_lang = docs.columns.index(text), docs.columns.index(lang)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        predictor = Predictor(*shared.value)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 500):
+                batch = whole.slice(lo, 500)
+                names, post = predictor.texts(batch.column(at_text).to_pylist())
+                good = np.array([n != "und" for n in names]) & (post >= least)
+                own = batch.column(at_lang)
+                columns = [pc.coalesce(own, pa.array(names, own.type)) if k == at_lang else c for k, c in enumerate(batch.columns)]
+                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(good))
+
+    return docs.mapInArrow(keep, docs.schema)
