@@ -1,0 +1,49 @@
+"""Small clause tables as SQL that Spark and DuckDB both read."""
+
+_CASES = (
+    ("c01", "legitimate", "plain", "The Supplier shall deliver the Goods within thirty (30) days.", "The Supplier shall deliver the Goods within thirty (30) days of the order."),
+    ("c02", "attack", "quantity", "The Supplier shall deliver the Goods within 60 days.", "The Supplier shall deliver the Goods within thirty (30) days of the order."),
+    ("c03", "attack", "polarity", "The Tenant shall assign the lease.", "The Tenant shall not assign the lease without consent."),
+    ("c04", "attack", "polarity", "The Buyer does not pay interest on late invoices.", "The Buyer pays interest on late invoices."),
+    ("c05", "attack", "modality", "The Licensee must renew the licence.", "The Licensee may renew the licence."),
+    ("c06", "attack", "condition", "The Bank may charge a late fee.", "The Bank may charge a late fee if payment is overdue."),
+    ("c07", "attack", "certainty", "The licence automatically renews each year.", "The licence renews each year."),
+    ("c08", "attack", "scope", "The warranty covers all defects.", "The warranty covers only defects listed in the schedule."),
+    ("c09", "attack", "exception", "The Carrier is liable for loss of cargo.", "The Carrier is liable for loss of cargo except for loss caused by war."),
+    ("c10", "attack", "time", "Notice is due after the renewal date.", "Notice is due before the renewal date."),
+    ("c11", "attack", "limit", "The Agent may enter the premises at any time.", "The Agent may enter the premises for 10 days."),
+    ("c12", "attack", "currency", "The fee is $5,000.", "The fee is €5,000 and is due monthly."),
+    ("c13", "attack", "date", "The term ends on 1 March 2027.", "The term ends on 1 May 2027."),
+    ("c14", "legitimate", "date", "The term ends on 2027-05-01.", "The term ends on 1 May 2027."),
+    ("c15", "attack", "fabricated", "Pets are welcome in the garden.", "The rent is payable monthly in advance."),
+    ("c16", "attack", "reference", "Confidential Information includes any record.", "Confidential Information has the meaning set out in Schedule 2."),
+    ("c17", "legitimate", "percentage", "Interest accrues at 10 percent per annum.", "Interest accrues at 10% per annum."),
+    ("c18", "legitimate", "continental", "The price is €1.400.000,50.", "The price is EUR 1.400.000,50 before tax."),
+    ("c19", "attack", "cross_reference", "The Lender may recover any cost.", "The Lender may recover any cost under Section 4.2."),
+    ("c20", "legitimate", "plain", "Either party may terminate on notice.", "Either party may terminate on notice."),
+)
+_LABELS = (
+    ("f_001", "Limitation of Liability"), ("f_002", "Payment Terms"), ("f_003", "governing law"), ("f_004", "Confidentiality obligations"),
+    ("f_005", "Assignment"), ("f_006", "Term and Renewal"), ("f_007", "Notice period"), ("f_008", "Force Majeure"), ("f_009", "Termination for breach"), ("f_010", ""),
+)
+_UPLOADS = (
+    ("u1", "lease.pdf", "application/pdf", 2048, "%PDF-1.7 x"), ("u2", "../up/My file?.PDF", "application/pdf; charset=x", 10, "junk %PDF-1.4"), ("u3", "a.docx", "application/pdf", 10, "%PDF-"),
+    ("u4", "a.pdf", "text/html", 10, "%PDF-"), ("u5", "a.pdf", "application/octet-stream", 10, "MZ"), ("u6", "a.pdf", "application/pdf", 0, ""), ("u7", "...", "application/pdf", 5, "%PDF-"),
+    ("u8", "big.pdf", "application/pdf", 99999999, "%PDF-"),
+)
+_DEFINITIONS = (
+    ("d1", 'In this deed "Business Day" means a weekday in London. Later, "Business Day" means any calendar date including holidays.'),
+    ("d2", '"Fee" means the annual licence fee. Elsewhere the "fee" means the annual licence fee.'),
+    ("d3", "“Term” shall mean twelve months from signing. 'Term' means the whole lifetime of either company."),
+)
+
+
+def _sql(rows: tuple, columns: str) -> str:
+    quoted = ", ".join("(" + ", ".join(str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'" for v in r) + ")" for r in rows)
+    return f"SELECT * FROM (VALUES {quoted}) AS t({columns})"
+
+
+CASES = _sql(_CASES, "case_id, family, category, claim, context")
+LABELS = _sql(_LABELS, "finding_id, label")
+UPLOADS = _sql(_UPLOADS, "upload_id, name, content_type, size, head")
+DEFINITIONS = _sql(_DEFINITIONS, "document_id, text")
