@@ -257,7 +257,10 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the rows that a similar or equal row with a smaller id, over any number of links, stands for."""
+    """docs without the rows that a similar or equal row with a smaller id, over any number of links, stands for.
+
+    Rows repeated under one id are one document and stay together; null ids and texts without words stay.
+    """
     others = jaccard_join(docs, doc_id, text).where("class_id < doc_id").select(F.col("doc_id").alias("__other"))
     others = materialise(others, "others")
     return docs.join(others, F.col(doc_id) == F.col("__other"), "left_anti")

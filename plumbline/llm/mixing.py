@@ -13,8 +13,8 @@ empty; the others keep their proportions, and no row is dropped or repeated.
 Row numbers come from counts by source and digest prefix, so no source, however large, is
 numbered in one task.
 
-Edge cases: rows without a source are a source of their own (named by null); null ids come
-first; repeated rows take neighbouring places; weights of absent sources count for
+Edge cases: rows without a source are a source of their own (named by null); a null id counts
+as the empty one; repeated rows take neighbouring places; weights of absent sources count for
 nothing; a present source without a given weight, or with a weight of zero, gets the
 smallest share, for no row is lost. An empty table gives an empty schedule. Other columns
 pass through. Shares are kept as one array, for up to some ten thousand sources.
