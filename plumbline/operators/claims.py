@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import values as X
 from ..functions import vocabulary as V
+from .context import carried, host_and_carve_out
 
 
 def restates_negated_part(claim: Column, context: Column, window: int = 4) -> Column:
@@ -25,12 +26,17 @@ def restates_negated_part(claim: Column, context: Column, window: int = 4) -> Co
     return (F.size(own) > 0) & (hit | (T.has_any(context, V.PROHIBITIONS) & (T.overlap(claim, context) >= V.SAME)))
 
 
-def issues(claim: Column, context: Column) -> Column:
-    """The issues of a claim in the order of the decision table; party roles and carve-outs are not judged here."""
+def issues(claim: Column, context: Column, host: Column | None = None, carve_out: Column | None = None) -> Column:
+    """The issues of a claim in the order of the decision table; party roles are not judged here.
+
+    host and carve_out are the context's clause and the sentences that cut it down, if it was split.
+    """
+    host = context if host is None else host
+    carve_out = F.lit("") if carve_out is None else carve_out
     either = T.overlap(claim, context)
     source = F.regexp_replace(claim, "(?i)" + V.CROSS_REFERENCE, " ")
     values = X.compare(X.numbers(source), X.dates(source), X.numbers(context), X.dates(context))["result"] != "match"
-    own_negative, negative = T.is_negative(claim), T.is_negative(context)
+    own_negative, negative = T.is_negative(claim), T.is_negative(host)
     own_mode, mode = T.modality(claim), T.modality(context)
 
     def dropped(phrases) -> Column:
@@ -44,8 +50,9 @@ def issues(claim: Column, context: Column) -> Column:
     listed = [
         ("not_established_by_evidence", either < V.ESTABLISHED),
         ("value_not_in_evidence", values),
-        ("negation_dropped", negative & ~own_negative & restates_negated_part(claim, context)),
-        ("negation_added", own_negative & ~negative),
+        ("carve_out_dropped", (carve_out != "") & ~carried(claim, host, carve_out)),
+        ("negation_dropped", negative & ~own_negative & restates_negated_part(claim, host)),
+        ("negation_added", own_negative & ~negative & ~T.is_negative(context)),
         ("modality_unsupported", (own_mode != "none") & (mode == "none")),
         ("modality_changed", (own_mode != "none") & (mode != "none") & (own_mode != mode)),
         ("condition_dropped", T.is_conditional(context) & ~T.is_conditional(claim)),
@@ -62,7 +69,9 @@ def issues(claim: Column, context: Column) -> Column:
 
 def check(rows: DataFrame) -> DataFrame:
     """rows(claim, context, …) with issues and status: supported, contradicted or unsupported."""
-    found = rows.withColumn("issues", issues(F.col("claim"), F.col("context")))
+    host, carve_out = host_and_carve_out(F.col("__s"))
+    found = rows.withColumn("__s", T.sentences(F.col("context"))).withColumn("__host", host).withColumn("__carve", carve_out)
+    found = found.withColumn("issues", issues(F.col("claim"), F.col("context"), F.col("__host"), F.col("__carve"))).drop("__s", "__host", "__carve")
     against = F.arrays_overlap("issues", F.array(*map(F.lit, V.CONTRADICTIONS))) & (T.overlap(F.col("claim"), F.col("context")) >= V.SAME)
     return found.withColumn("status", F.when(F.size("issues") == 0, "supported").when(against, "contradicted").otherwise("unsupported"))
 

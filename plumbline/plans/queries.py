@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import values as X
 from ..functions import vocabulary as V
-from ..operators import claims, coverage, evaluation, grounding, release, value_index
+from ..operators import claims, coverage, evaluation, findings, grounding, mutations, release, value_index
 from ..sources import sinks, uploads
 from ..streaming import jobs
 from . import fixtures, oracle
@@ -227,6 +227,19 @@ def _(spark, d):
     return claims.check(spark.sql(fixtures.CASES)).select("case_id", F.array_join("issues", ",").alias("issues"), "status")
 
 
+@query("g13_gate_answers", f"{_CHECKED} SELECT r.case_id AS answer_id, CASE WHEN status = 'supported' THEN 'supported' ELSE 'not_found' END AS status, CASE WHEN status = 'supported' THEN claim ELSE '' END AS released FROM r JOIN k USING (case_id)")
+def _(spark, d):
+    cases = spark.sql(fixtures.CASES)
+    answers = cases.select(F.col("case_id").alias("answer_id"), F.col("claim").alias("answer"), F.lit(False).alias("not_found"))
+    evidence = cases.select(F.col("case_id").alias("answer_id"), F.lit(0).alias("context_pos"), "context", F.lit("verified").alias("status"))
+    return findings.gate(answers, evidence)
+
+
+@query("e15_mutation_coverage")
+def _(spark, d):
+    return mutations.coverage(spark.sql(fixtures.CASES).where("family = 'legitimate'").select("case_id", "context"))
+
+
 @query("e12_scores", f"""{_CHECKED}, f AS (SELECT family, category, status <> 'supported' AS flagged FROM r)
 SELECT family, category, count(*) AS cases, count(*) FILTER (family = 'attack') AS attacks, count(*) FILTER (family = 'attack' AND flagged) AS detected, count(*) FILTER (family <> 'attack') AS legitimate,
   count(*) FILTER (family <> 'attack' AND NOT flagged) AS released,
@@ -329,6 +342,14 @@ def _(spark, d):
     return jobs.latest(_table(spark, d, "events").select("user_id", "ts", "event_id", "event_type"), "user_id", "ts", "event_id")
 
 
+_JOBS = "SELECT * FROM (VALUES ('d', 0, 'submit', 'en'), ('d', 1, 'submit', 'en'), ('d', 2, 'submit', 'ta'), ('d', 3, 'completed', NULL), ('d', 4, 'submit', 'en'), ('d', 5, 'submit', 'ta'), ('d', 6, 'failed', NULL), ('d', 7, 'submit', 'ta')) AS t(document_id, seq, event, language)"
+
+
+@query("i04_submissions", "SELECT * FROM (VALUES ('d', 0, 'new'), ('d', 1, 'reuse'), ('d', 2, 'conflict'), ('d', 4, 'reuse'), ('d', 5, 'new'), ('d', 7, 'new')) AS t(document_id, seq, decision)")
+def _(spark, d):
+    return jobs.submissions(spark.sql(_JOBS))
+
+
 @query("a19_expired", "SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 3600 SECOND")
 def _(spark, d):
     events = _table(spark, d, "events").select("event_id", "ts")

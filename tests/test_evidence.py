@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
 from plumbline.functions import values as X
-from plumbline.operators import claims, coverage, grounding, release
+from plumbline.operators import claims, context, coverage, grounding, mutations, release
 from plumbline.plans.queries import ORACLES, QUERIES
-from plumbline.sources import sinks, uploads
+from plumbline.sources import replies, sinks, uploads
 from plumbline.streaming import jobs
 
 DATA = "/root/testdata/sf0.001"
@@ -124,3 +124,34 @@ def test_streamed_events_are_taken_once(spark, tmp_path):
     run = jobs.once(stream, "id", at="ts").writeStream.format("memory").queryName("once_events").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     run.awaitTermination(60)
     assert spark.table("once_events").count() == 2
+
+
+PAGE = "Intro text here. The cover includes all water damage. This cover does not apply to floods. The premium is due monthly."
+
+
+def test_contexts_take_in_carve_outs(spark):
+    rows = [("cover includes all", "the cover includes all water damage. this cover does not apply to floods."), ("premium is due", "the premium is due monthly."), ("here. the cover", "intro text here. the cover includes all water damage. this cover does not apply to floods."), ("", ""), ("absent", "absent")]
+    got = context.with_context(spark.createDataFrame([(w, PAGE, c) for w, c in rows], "window string, page_text string, want string")).collect()
+    assert all(r.context == r.want for r in got), got
+    assert _one(spark, context.units(T.sentences(F.col("t"))), t=PAGE) == ["Intro text here.", "The cover includes all water damage. This cover does not apply to floods.", "The premium is due monthly."]
+
+
+def test_dropped_carve_outs_are_seen(spark):
+    both = "The cover includes all water damage. This cover does not apply to floods."
+    rows = spark.createDataFrame([("The cover includes all water damage.", both)], "claim string, context string")
+    assert claims.check(rows).first().issues == ["carve_out_dropped"]
+
+
+def test_replies_are_found_in_chatter(spark):
+    found = '<think>{x</think> ok ```json\n{"answer":"a","not_found":false,"evidence":[{"page":1,"quote":"q"}],"zz":1}\n```'
+    got = _one(spark, replies.parsed(F.col("t"), replies.ANSWER), t=found)
+    assert (got.answer, got.not_found, got.evidence[0].page, got.evidence[0].section) == ("a", False, 1, None)
+    assert _one(spark, replies.parsed(F.col("t"), replies.ANSWER), t="nope") is None
+
+
+def test_mutations_apply_once(spark):
+    text = "If late, the Tenant shall pay $5 within 3 days and shall notify, unless excused."
+    got = spark.createDataFrame([(text,)], "t string").select(*[v.alias(k) for k, v in mutations.mutations(F.col("t")).items()]).first()
+    assert got.polarity == text.replace("shall", "shall not", 1) and got.modality == text.replace("shall", "may", 1)
+    assert got.currency == text.replace("$", "£") and got.limit == text.replace("within", "after") and got.quantity == text.replace("5", "97531")
+    assert got.condition == text.removeprefix("If late, ") and got.exception == text.replace(", unless excused", "") and got.scope is None
