@@ -36,8 +36,8 @@ _TITLES_M = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин")
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
     "key_id": r"\bAKIA[0-9A-Z]{16}\b",
-    "token": r"(?<=\b(?:token|secret|api_key)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_\-]{16,}",
-    "password": r"(?<=\b(?:password|passwd|pwd)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_\-]{6,}",
+    "token": r"(?<=\b(?i:token|secret|api_key)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_\-]{16,}",
+    "password": r"(?<=\b(?i:password|passwd|pwd)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_\-]{6,}",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "card": r"(?<![\d])(?:\d{4}[ \-]?){3}\d{1,7}(?!\d)",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\d]|\.\d)",
@@ -45,7 +45,7 @@ PATTERNS = {
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}[ .\-]?\d{3,4}(?!\d)|(?<!\d)\+\d{8,14}(?!\d)",
     "name": rf"\b(?:{'|'.join(_TITLES_F + _TITLES_M)})\.? \p{{Lu}}\p{{Ll}}+(?:[ \-]\p{{Lu}}\p{{Ll}}+){{0,2}}",
 }
-_HINT = rf"[0-9@]|(?:{'|'.join(_TITLES_F + _TITLES_M)})\.? "
+_HINT = rf"[0-9@]|(?i:token|secret|api_key|passw|pwd)|(?:{'|'.join(_TITLES_F + _TITLES_M)})\.? "
 _ALL = "(?U)" + "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Syllables of surrogate names, and the endings by gender, for each script.
 _NAMES = {"latin": (("ba", "ri", "lo", "ne", "ka", "mi", "to", "su", "ve", "da", "fe", "no", "ra", "pi", "ga", "le"), "na", "rd"), "cyrillic": (("ба", "ри", "ло", "не", "ка", "ми", "то", "су", "ве", "да", "фе", "но", "ра", "пи", "га", "ле"), "на", "в")}
@@ -82,7 +82,7 @@ def _byte(digest: Column, k: Column) -> Column:
 
 def _redrawn(text: Column, digest: Column, keep: int = 0) -> Column:
     """text with each letter and digit but the first `keep` drawn anew within its class."""
-    hexadecimal = text.rlike(r"^[0-9a-f]+$")
+    hexadecimal = text.rlike(r"^(?:[0-9a-f]+|[0-9A-F]+)$")
 
     def draw(k: Column) -> Column:
         c, b = F.substring(text, k + 1, F.lit(1)), _byte(digest, k)

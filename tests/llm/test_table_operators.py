@@ -99,6 +99,12 @@ def test_surrogates_keep_format_and_reference(spark):
     assert re.search(r"Mrs\. \w+na \w+na and Mr\. \w+rd \w+rd\.", new)
 
 
+def test_credentials_without_digits_or_in_capitals_go(spark):
+    texts = ["PASSWORD=SECRETVALUE here", "pwd: hunter-two-three", "Token = 'ABCDEFABCDEFABCDEF'", "a token of thanks"]
+    got = [r.text for r in pii.surrogates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert "SECRETVALUE" not in got[0] and "hunter-two" not in got[1] and "ABCDEFABCDEF" not in got[2] and got[3] == texts[3]
+
+
 def test_colliding_surrogates_are_drawn_again(spark):
     def narrow(key, attempt):
         # six surrogates for six entities: most first draws collide
