@@ -30,8 +30,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Longest piece, in code points, that the lattice uses; words of up to LONG letters go through arrays.
-MAX_PIECE, LONG = 12, 32
+#: Longest piece, in code points, that the lattice uses; words of up to LONG letters go through arrays, AT_ONCE words at a time.
+MAX_PIECE, LONG, AT_ONCE = 12, 32, 8192
 #: Pseudo-count of each piece in each language, and a floor for a letter that is no piece.
 ALPHA = 0.05
 _LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -48,6 +48,13 @@ def load_pieces(path: str) -> list[str]:
     return sorted(good | {_MARK})
 
 
+def _batches(by_length: dict[int, list[int]]) -> Iterator[tuple[int, list[int]]]:
+    """Rows of one length, at most AT_ONCE at a time, so arrays stay small."""
+    for length, rows in by_length.items():
+        for lo in range(0, len(rows), AT_ONCE):
+            yield length, rows[lo : lo + AT_ONCE]
+
+
 class Lattice:
     """Forward sums over the segmentations of words, for any number of models at once."""
 
@@ -87,7 +94,7 @@ class Lattice:
         by_length: dict[int, list[int]] = {}
         for k, w in enumerate(words):
             by_length.setdefault(len(w), []).append(k)
-        for length, rows in by_length.items():
+        for length, rows in _batches(by_length):
             if length > LONG:
                 for k in rows:
                     out[k] = self._long(words[k], model)
@@ -126,7 +133,7 @@ class Lattice:
         by_length: dict[int, list[int]] = {}
         for k, w in enumerate(words):
             by_length.setdefault(len(w), []).append(k)
-        for length, rows in by_length.items():
+        for length, rows in _batches(by_length):
             if length > LONG:
                 for k in rows:  # of a long word each letter window of LONG counts alone
                     parts = [words[k][i : i + LONG] for i in range(0, length, LONG)]
