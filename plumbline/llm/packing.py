@@ -59,16 +59,12 @@ class WordTokens:
         self.lengths = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
-    def encode(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word; words are encoded in one call, parted by the separator."""
-        plain = [w for w in words if "<|" not in w]
-        out: dict[str, np.ndarray] = {}
-        for lo in range(0, len(plain), 20_000):
-            part = plain[lo : lo + 20_000]
-            ids = np.array(self.tokenizer.encode(_SEPARATOR.join(part), add_special_tokens=False).ids, np.uint32)
-            out.update(zip(part, np.split(ids, np.flatnonzero(ids == _SEPARATOR_ID)), strict=True))
-        got = [out[w] if w in out else np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32) for w in words]
-        return [x[1:] if w in out and len(x) and x[0] == _SEPARATOR_ID else x for w, x in zip(words, got, strict=True)]
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words one after the other, and their numbers; words are encoded many at a time, parted by the separator."""
+        parts = [_SEPARATOR.join(words[lo : lo + 256]) for lo in range(0, len(words), 256)]
+        ids = np.concatenate([np.array([_SEPARATOR_ID, *x.ids], np.uint32) for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)])
+        cuts = np.append(np.flatnonzero(ids == _SEPARATOR_ID), len(ids))
+        return ids[ids != _SEPARATOR_ID], np.diff(cuts) - 1
 
     def texts(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, each with END after it, and offsets."""
@@ -82,10 +78,16 @@ class WordTokens:
         missing = np.flatnonzero(~known)
         if len(missing):
             raw = buf.tobytes()
-            new = self.encode([raw[starts[k] : ends[k]].decode() for k in index[missing]])
-            lengths = np.array([len(x) for x in new], np.int64)
+            new = [raw[a:b].decode() for a, b in zip(starts[index[missing]].tolist(), ends[index[missing]].tolist(), strict=True)]
+            odd = np.array(["<|" in w for w in new])  # may hold a special token: encoded alone
+            missing = np.concatenate([missing[~odd], missing[odd]])
+            ids, lengths = self.encode([w for w, o in zip(new, odd, strict=True) if not o]) if not odd.all() else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+            alone = [np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32) for w, o in zip(new, odd, strict=True) if o]
+            lengths = np.concatenate([lengths, [len(x) for x in alone]]).astype(np.int64)
             begins = len(self.ids) + np.cumsum(lengths) - lengths
-            self.ids = np.concatenate([self.ids, *new])
+            self.ids = np.concatenate([self.ids, ids, *alone])
+            order = np.argsort(missing)
+            missing, begins, lengths = missing[order], begins[order], lengths[order]
             self.starts = np.insert(self.starts, at[missing], begins)
             self.lengths = np.insert(self.lengths, at[missing], lengths)
             self.keys = np.insert(self.keys, at[missing], unique[missing])
@@ -102,14 +104,24 @@ class WordTokens:
         return out, offsets
 
 
+_KNOWN: dict[str, WordTokens] = {}
+
+
+def _word_tokens(path: str) -> WordTokens:
+    """One table of words a worker process and tokenizer; later tasks go on with it."""
+    if path not in _KNOWN:
+        _KNOWN[path] = WordTokens(path)
+    return _KNOWN[path]
+
+
 def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, start, length, ids_crc32 and doc_tokens of every piece of every row."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokens(tokenizer)
+        words = _word_tokens(tokenizer)
         for whole in batches:
-            for batch in arrays.slices(whole, "text"):
+            for batch in arrays.slices(whole, "text", 4 << 20):
                 ids, off = words.texts(*arrays.buffers(batch.column("text")))
                 rows, starts, lengths, sums = [], [], [], []
                 for k in range(batch.num_rows):
