@@ -133,8 +133,22 @@ def script_of(tamil: Column, latin: Column, letters: Column) -> Column:
 
 
 def looks_like_injection(text: Column) -> Column:
-    """Whether a passage holds a phrase that addresses an assistant."""
-    return has_any(text, V.INJECTIONS)
+    """Whether a passage holds a phrase that addresses an assistant, or opens with a command and names no contract role.
+
+    Clauses by which a contract supersedes earlier agreements use the same verbs and are masked first.
+    """
+    verbs = r"(?:ignor(?:e|es|ing)|disregard(?:s|ing)?|supersed(?:e|es|ing))"
+    settled = rf"(?i)\b{verbs}\s+(?:any\s+|all\s+)?(?:previous|prior|preceding|earlier|other)\s+(?:\w+\s+){{0,2}}(?:{'|'.join(V.SETTLED_WORDS)})s?\b"
+    lead = rf"(?i)^[\s\"'(\[]*(?:(?:do|don|never|always|please)[^a-z]+)?(?:{'|'.join(V.COMMANDS)})(?![a-z])"
+    roles = has_any(F.regexp_replace(text, r"(?i)\bthird[\s-]+part(?:y|ies)\b", " "), V.ROLES)
+    return has_any(F.regexp_replace(text, settled, " "), V.INJECTIONS) | (F.coalesce(text.rlike(lead), F.lit(False)) & ~roles)
+
+
+def reports_speech(context: Column, quote: Column) -> Column:
+    """Whether the quote stands after a reporting verb and an opening quotation mark; the closing one may be missing."""
+    said = F.regexp_extract(normalize(context), rf"(?s)\b(?:{'|'.join(V.REPORTING)})\b[^\"]{{0,80}}(\".*)$", 1)
+    own = normalize(quote)
+    return (own != "") & (said != "") & F.contains(said, own)
 
 
 def safe_type(label: Column) -> Column:

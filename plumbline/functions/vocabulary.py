@@ -42,6 +42,24 @@ INJECTIONS = (
     "new instructions", "updated instructions", "developer mode", "override your", "reveal your", "print your", "output your", "api key",
     "release every", "mark as verified", "verification rules",
 )
+COMMANDS = (
+    "ignore", "disregard", "forget", "reveal", "print", "output", "return", "say", "tell", "respond", "reply", "answer", "override", "bypass",
+    "pretend", "act", "behave", "assume", "stop", "skip", "omit", "release", "mark", "classify", "treat", "follow", "execute", "run",
+)
+ROLES = (
+    "party", "parties", "customer", "client", "supplier", "vendor", "contractor", "subcontractor", "employee", "employer", "landlord", "tenant",
+    "licensor", "licensee", "buyer", "seller", "purchaser", "provider", "recipient", "discloser", "lessor", "lessee", "consultant", "agent",
+    "borrower", "lender", "company", "government", "authority", "agency", "department", "officer", "processor", "controller", "bank", "insurer",
+    "guarantor", "trustee", "principal", "distributor", "manufacturer", "owner", "operator", "assignee", "sponsor", "importer", "exporter",
+    "executive", "subprocessor", "transferor", "transferee", "franchisor", "franchisee", "indemnitor", "indemnitee", "obligor", "obligee",
+    "mortgagor", "mortgagee", "shipper", "carrier", "consignee", "clients", "customers", "suppliers", "employees", "vendors",
+)
+REPORTING = (
+    "wrote", "writes", "stated", "states", "said", "says", "confirmed", "confirms", "advised", "advises", "emailed", "informed", "informs",
+    "told", "replied", "noted", "commented", "announced", "alleged", "claimed",
+)
+CONCLUSIONS = ("verified", "unenforceable", "enforceable", "legally binding", "guarantee", "guarantees", "guaranteed", "you should sign", "you should not sign")
+SETTLED_WORDS = ("agreement", "understanding", "representation", "negotiation", "arrangement", "communication", "warranty", "warranties", "discussion", "correspondence", "dealings", "proposal", "undertaking")
 CONSEQUENCES = (
     "indemnify", "indemnity", "indemnification", "liable", "liability", "penalty", "penalties", "liquidated damages", "terminate", "termination",
     "breach", "default", "forfeit", "forfeiture", "waive", "waiver", "exclusive", "assign", "assignment", "confidential", "confidentiality",

@@ -106,3 +106,10 @@ def conflicting_definitions(documents: DataFrame, agreement: float = 0.6) -> Dat
     pair = (F.col("a.document_id") == F.col("b.document_id")) & (F.col("a.term") == F.col("b.term")) & (F.col("a.pos") < F.col("b.pos"))
     apart = (shared / F.size("a.body") < agreement) & (shared / F.size("b.body") < agreement)
     return a.join(b, pair & apart).select("a.document_id", "a.term").distinct()
+
+
+def defined_terms(text: Column) -> Column:
+    """Terms that a passage defines, folded."""
+    folded = T.normalize(text, False)
+    found = F.arrays_zip(*[F.regexp_extract_all(folded, F.lit(DEFINITION), F.lit(k)).alias(n) for k, n in ((1, "a"), (2, "b"))])
+    return F.transform(found, lambda d: T.normalize(F.concat(d["a"], d["b"])))

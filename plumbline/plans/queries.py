@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import values as X
 from ..functions import vocabulary as V
-from ..operators import claims, coverage, evaluation, findings, grounding, mutations, release, value_index
+from ..operators import claims, coverage, evaluation, findings, grounding, judgements, mutations, release, value_index
 from ..sources import sinks, uploads
 from ..streaming import jobs
 from . import fixtures, oracle
@@ -298,6 +298,34 @@ def _(spark, d):
     return claims.conflicting_definitions(spark.sql(fixtures.DEFINITIONS))
 
 
+@query("g06_check_findings", """SELECT * FROM (VALUES ('j1', 'verified', NULL), ('j2', 'rejected', 'evidence_instruction_like'), ('j3', 'rejected', 'evidence_instruction_like'),
+('j4', 'rejected', 'claim_contradicted'), ('j5', 'rejected', 'evidence_instruction_like')) AS t(finding_id, status, reason)""")
+def _(spark, d):
+    rows = spark.sql(fixtures.JUDGED).select("finding_id", F.lit("d").alias("document_id"), "claim", "quote", "context", F.lit("verified").alias("status"))
+    contested = spark.sql("SELECT 'd' AS document_id, 'business day' AS term")
+    return judgements.checked_findings(rows, contested).select("finding_id", "status", "reason")
+
+
+@query("b45_explanations", """SELECT * FROM (VALUES ('j1', '', false, 'explanation_contradicted'), ('j2', '', false, NULL), ('j3', '', false, 'evidence_instruction_like'),
+('j4', 'The Tenant shall pay rent within 30 days.', true, NULL), ('j5', 'A weekday in London.', true, NULL)) AS t(finding_id, explanation, explanation_verified, reason)""")
+def _(spark, d):
+    return judgements.explanations(spark.sql(fixtures.JUDGED).select("finding_id", "explanation", "context"))
+
+
+@query("b46_translations", "SELECT * FROM (VALUES ('j1', NULL), ('j2', 'x'), ('j3', NULL), ('j4', 'Rent in 30 days'), ('j5', 'A weekday')) AS t(finding_id, translation)")
+def _(spark, d):
+    shown = judgements.translation(F.col("translation"), F.col("finding_id") != "j3", F.col("context"))
+    return spark.sql(fixtures.JUDGED).select("finding_id", shown.alias("translation"))
+
+
+@query("g14_notes", """SELECT * FROM (VALUES ('a', 1, true, true, 'n_001'), ('a', 2, false, false, NULL), ('a', 3, true, false, 'n_002'), ('a', 4, false, false, NULL), ('a', 5, false, false, NULL),
+('b', 1, false, false, NULL), ('b', 2, true, true, 'n_001')) AS t(analysis_id, pos, released, evidence_checked, note_id)""")
+def _(spark, d):
+    quotes = F.when(F.col("quoted") == "", F.array().cast("array<string>")).otherwise(F.array("quoted"))
+    proposed = spark.sql(fixtures.NOTES).select("analysis_id", "pos", "text", F.split("ids", ",").alias("finding_ids"), quotes.alias("quotes"))
+    return judgements.notes(proposed, spark.sql(fixtures.SHOWN))
+
+
 @query("g01_verify_quotes", f"""WITH {_PAGES}, f AS (SELECT document_id, count(*) AS n, max(CASE WHEN page_number = 1 THEN text END) AS text FROM pages GROUP BY document_id)
 SELECT document_id, CASE document_id % 5 WHEN 1 THEN 'unverified' WHEN 2 THEN 'rejected' WHEN 3 THEN 'unverified' WHEN 4 THEN 'unverified' ELSE CASE WHEN {oracle.folded('substr(text, 1, 60)')} = '' THEN 'unverified' ELSE 'verified' END END AS status,
   CASE document_id % 5 WHEN 1 THEN 'quote_blank' WHEN 2 THEN 'page_out_of_range' WHEN 3 THEN 'missing_evidence' WHEN 4 THEN 'quote_too_long' ELSE CASE WHEN {oracle.folded('substr(text, 1, 60)')} = '' THEN 'quote_blank' ELSE '' END END AS reasons FROM f""")
