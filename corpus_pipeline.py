@@ -10,12 +10,14 @@ columns of documents. A stage's result is written and read again before the next
 3. pii: personal data and credentials are replaced by surrogates.
 4. mixing: documents are put into the order of the Pfair schedule; the files of the result
    follow it.
-5. packing: documents are cut and packed into sequences.
+5. packing: documents are cut and packed into sequences, which are numbered in that order.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from plumbline.llm import jaccard_join, language_id, mixing, packing, pii
 from plumbline.llm.queries import vocabulary
@@ -41,8 +43,23 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return placed.repartitionByRange("mix_slot", "mix_place").sortWithinPartitions("mix_slot", "mix_place").select(*docs.columns)
 
 
+def in_written_order(docs: DataFrame) -> DataFrame:
+    """docs with `place`, the number of the row in the order of the files; docs that come from no file are written first."""
+    name, row = F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row")
+    try:
+        placed = docs.select("*", name, row)
+    except AnalysisException:
+        placed = materialise(docs, "ordered").select("*", name, row)
+    before, starts = 0, []
+    for file, n in sorted(placed.groupBy("__file").count().collect()):  # a row for each file
+        starts.append((file, before))
+        before += n
+    first = docs.sparkSession.createDataFrame(starts, "__file string, __before long")
+    return placed.join(F.broadcast(first), "__file").withColumn("place", F.col("__before") + F.col("__row")).select(*docs.columns, "place")
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, vocabulary("word_bpe_49k.json"))
+    return packing.pack(in_written_order(docs), vocabulary("word_bpe_49k.json"), order="place")
 
 
 STAGES = [

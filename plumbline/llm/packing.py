@@ -15,6 +15,10 @@ pattern for each size and a few bins are not full: padding does not grow with th
 Pieces are ranked within their size by counts of size and id bucket, and rank decides
 pattern, copy and place by arithmetic against the small pattern table.
 
+Where the rows have an order, pieces are ranked by it instead of by id. The uses of each
+pattern are then dealt over ROUNDS rounds, so a bin holds pieces from one stretch of the
+order, and sequences are numbered by the mean place of their tokens.
+
 Tokens come from a public tokenizer, word by word: its pre-tokenizer never joins across
 white space, so distinct words are encoded once a task and looked up by a 64-bit hash.
 
@@ -37,8 +41,8 @@ from pyspark.sql import functions as F
 from . import arrays
 from .shared import materialise
 
-#: Tokens of a sequence; tokens of a unit; end id; id buckets for ranking.
-LENGTH, UNIT, END, BUCKETS = 4096, 64, 2, 512
+#: Tokens of a sequence; tokens of a unit; end id; buckets for ranking; rounds of the patterns where rows have an order.
+LENGTH, UNIT, END, BUCKETS, ROUNDS = 4096, 64, 2, 512, 16
 _SEPARATOR, _SEPARATOR_ID = "<|endoftext|>", 49407
 
 
@@ -114,8 +118,8 @@ def _word_tokens(path: str) -> WordTokens:
     return _KNOWN[path]
 
 
-def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, start, length, ids_crc32 and doc_tokens of every piece of every row."""
+def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", order: str | None = None) -> DataFrame:
+    """doc_id, start, length, ids_crc32 and doc_tokens of every piece of every row, and its order (0 where none is given)."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,12 +141,12 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
                         sums.append(zlib.crc32(ids[off[k] + a : off[k] + b]))
                 owners = np.array(rows)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(owners)), *(pa.array(x, pa.int64()) for x in (starts, lengths, sums, np.diff(off)[owners]))],
-                    names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"],
+                    [batch.column("doc_id").take(pa.array(owners)), *(pa.array(x, pa.int64()) for x in (starts, lengths, sums, np.diff(off)[owners])), batch.column("order").take(pa.array(owners))],
+                    names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "order"],
                 )
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(cut, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), (F.col(order) if order else F.lit(0)).cast("long").alias("order"))
+    return rows.mapInArrow(cut, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, `order` long")
 
 
 def price(values: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -219,37 +223,67 @@ def _table(spark, plan: list[tuple[int, dict[int, int]]], base: int) -> DataFram
 def _binned(items: DataFrame, table: DataFrame, bin_name: str, place: str) -> DataFrame:
     """Adds the bin of items(size, rank) and their place in it."""
     match = (F.col("size") == F.col("p_size")) & (F.col("rank") >= F.col("p_lo")) & (F.col("rank") < F.col("p_hi"))
-    joined = items.join(F.broadcast(table), match)  # a few hundred rows at most: 63 sizes, a pattern for each
+    joined = items.join(F.broadcast(table), match)  # a few hundred rows, times ROUNDS at most: 63 sizes, a pattern for each
     copy = F.floor((F.col("rank") - F.col("p_lo")) / F.col("p_items"))
     within = (F.col("rank") - F.col("p_lo")) % F.col("p_items")
     return joined.withColumn(bin_name, F.col("p_base") + copy).withColumn(place, F.col("p_at") + within * F.col("p_size")).select(*items.columns, bin_name, place)
 
 
-def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every piece with its sequence_id and its offset there."""
+def _dealt(plan: list[tuple[int, dict[int, int]]]) -> list[tuple[int, dict[int, int]]]:
+    """The plan in ROUNDS rounds, each with its part of every pattern's uses."""
+    parts = [(n * (r + 1) // ROUNDS - n * r // ROUNDS, pattern) for r in range(ROUNDS) for n, pattern in plan]
+    return [(n, pattern) for n, pattern in parts if n]
+
+
+def _in_order(placed: DataFrame) -> DataFrame:
+    """placed with its sequences numbered by the mean order of their tokens."""
+    spark = placed.sparkSession
+    mean = F.floor(F.sum(F.col("order") * F.col("length")) / F.sum("length"))
+    means = placed.groupBy("sequence_id").agg(mean.alias("mean"))
+    most = means.agg(F.max("mean")).first()[0] or 0
+    means = materialise(means.withColumn("bucket", F.floor(F.col("mean") * BUCKETS / F.lit(most + 1))), "means")
+    before, rows = 0, []
+    for bucket, n in sorted(means.groupBy("bucket").count().collect()):  # BUCKETS rows
+        rows.append((bucket, before))
+        before += n
+    offsets = spark.createDataFrame(rows, "bucket long, before long")
+    row = F.row_number().over(Window.partitionBy("bucket").orderBy("mean", "sequence_id")) - 1
+    numbers = means.withColumn("row", row).join(F.broadcast(offsets), "bucket").select("sequence_id", (F.col("before") + F.col("row")).alias("number"))
+    return placed.join(numbers, "sequence_id").withColumn("sequence_id", F.col("number")).drop("number")
+
+
+def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", order: str | None = None) -> DataFrame:
+    """Every piece with its sequence_id and its offset there; `order` names a column of whole numbers from 0 that sequences follow."""
     spark = docs.sparkSession
-    cut = pieces(docs, tokenizer, doc_id, text)
-    cut = materialise(cut, "pieces").withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)))
+    cut = materialise(pieces(docs, tokenizer, doc_id, text, order), "pieces")
+    if order:
+        most = cut.agg(F.max("order")).first()[0] or 0
+        cut = cut.withColumn("bucket", F.floor(F.col("order") * BUCKETS / F.lit(most + 1)))
+    else:
+        cut = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)))
     counts = materialise(cut.groupBy("length", "bucket").agg(F.count("*").alias("n")), "counts")
     before = F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select("length", "bucket", F.coalesce(before, F.lit(0)).alias("before"))
     demand = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most 2 * UNIT rows
 
-    tails = cutting_stock({s: n for s, n in demand.items() if s < UNIT}, UNIT)
+    deal = _dealt if order else list
+    tails = deal(cutting_stock({s: n for s, n in demand.items() if s < UNIT}, UNIT))
     units = {s // UNIT: n for s, n in demand.items() if s >= UNIT and s < LENGTH}
     first_block = units.get(1, 0)
     blocks = sum(n for n, _ in tails)
     units[1] = first_block + blocks
     whole = demand.get(LENGTH, 0)
 
-    row = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "start")) - 1
+    row = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("order", "doc_id", "start")) - 1
     ranked = cut.withColumn("row", row).join(offsets, ["length", "bucket"]).withColumn("rank", F.col("row") + F.col("before")).drop("row", "before", "bucket")
     large = ranked.where(F.col("length") == LENGTH).withColumn("sequence_id", F.col("rank")).withColumn("place", F.lit(0)).withColumn("inner", F.lit(0)).drop("rank")
     small = ranked.where(F.col("length") < UNIT).withColumn("size", F.col("length"))
     small = _binned(small, _table(spark, tails, first_block), "block", "inner").drop("size").withColumn("rank", F.col("block")).withColumn("size", F.lit(1)).drop("block")
     middle = ranked.where((F.col("length") >= UNIT) & (F.col("length") < LENGTH)).withColumn("inner", F.lit(0)).withColumn("size", F.floor(F.col("length") / UNIT))
-    items = _binned(small.unionByName(middle), _table(spark, cutting_stock(units, LENGTH // UNIT), whole), "sequence_id", "place").drop("rank", "size")
+    items = _binned(small.unionByName(middle), _table(spark, deal(cutting_stock(units, LENGTH // UNIT)), whole), "sequence_id", "place").drop("rank", "size")
     placed = large.unionByName(items)
-    order = Window.partitionBy("sequence_id").orderBy("place", "inner", "doc_id", "start").rowsBetween(Window.unboundedPreceding, -1)
-    offset = F.coalesce(F.sum("length").over(order), F.lit(0)).cast("long")
+    if order:
+        placed = _in_order(materialise(placed, "placed"))
+    earlier = Window.partitionBy("sequence_id").orderBy("place", "inner", "doc_id", "start").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("length").over(earlier), F.lit(0)).cast("long")
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", F.col("sequence_id").cast("long").alias("sequence_id"), offset.alias("offset"))

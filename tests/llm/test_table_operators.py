@@ -194,3 +194,20 @@ def test_pipeline_decisions(spark, tmp_path):
     packed = corpus_pipeline.packed(spark, mixed, str(tmp_path))
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == ids
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "pii", "mixing", "packing"]
+
+
+def test_packed_sequences_follow_the_mix(spark):
+    rows = [(k, f"{'ab'[k % 2]} " * (40 + k * 37 % 400), "en", "ab"[k % 2], 1) for k in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+
+    def first_share(weights):
+        order = mixing.mix(docs, weights).repartitionByRange(3, "mix_slot", "mix_place").sortWithinPartitions("mix_slot", "mix_place").select(*docs.columns)
+        placed = corpus_pipeline.in_written_order(order)
+        assert sorted(r.place for r in placed.select("place").collect()) == list(range(len(rows)))
+        got = corpus_pipeline.packed(spark, order, "").toPandas()
+        assert got.groupby("doc_id").length.sum().eq(got.groupby("doc_id").doc_tokens.first()).all() and got.doc_id.nunique() == len(rows)
+        assert got.groupby("sequence_id").length.sum().max() <= 4096 and sorted(got.sequence_id.unique()) == list(range(got.sequence_id.nunique()))
+        early = got[got.sequence_id < got.sequence_id.nunique() // 3]
+        return early[early.doc_id % 2 == 0].length.sum() / early.length.sum()
+
+    assert first_share({"a": 0.9, "b": 0.1}) > 0.75 and first_share({"a": 0.1, "b": 0.9}) < 0.25
