@@ -11,7 +11,9 @@ words, gender and script.
 
 Collision checks keep distinct entities distinct: a candidate that another entity drew
 first, that already stands for one, or that is itself an entity of the corpus is drawn
-again with the next attempt, until none is left.
+again with the next attempt, until none is left. Every GROW attempts surrogates get
+longer, a name by a syllable a word and others by a character, so a format with fewer
+surrogates than entities does not end the query.
 
 Texts are cut at the pattern's matches and joined again with the surrogates, so a
 replacement never meets another one. Texts travel in no shuffle but those that hold
@@ -50,6 +52,8 @@ _ALL = "(?U)" + "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Syllables of surrogate names, and the endings by gender, for each script.
 _NAMES = {"latin": (("ba", "ri", "lo", "ne", "ka", "mi", "to", "su", "ve", "da", "fe", "no", "ra", "pi", "ga", "le"), "na", "rd"), "cyrillic": (("ба", "ри", "ло", "не", "ка", "ми", "то", "су", "ве", "да", "фе", "но", "ра", "пи", "га", "ле"), "на", "в")}
 DEFAULT_KEY = "plumbline-surrogates-1"
+#: Attempts after which surrogates get longer.
+GROW = 4
 
 
 def _kind(match: Column) -> Column:
@@ -111,8 +115,8 @@ def _checked(digits: Column) -> Column:
     return F.concat(body, ((F.lit(10) - total % 10) % 10).cast("string"))
 
 
-def _renamed(canonical: Column, digest: Column) -> Column:
-    """A name of as many words in the same script, with the ending of its gender; three syllables a word."""
+def _renamed(canonical: Column, digest: Column, syllables_a_word: int = 3) -> Column:
+    """A name of as many words in the same script, with the ending of its gender."""
 
     def script(name: str) -> Column:
         syllables, female, male = _NAMES[name]
@@ -120,7 +124,7 @@ def _renamed(canonical: Column, digest: Column) -> Column:
         end = F.when(canonical.startswith("f|"), female).otherwise(male)
 
         def word(k: Column) -> Column:
-            parts = [F.element_at(bank, _byte(digest, k * 3 + j) % len(syllables) + 1) for j in range(3)]
+            parts = [F.element_at(bank, _byte(digest, k * syllables_a_word + j) % len(syllables) + 1) for j in range(syllables_a_word)]
             return F.initcap(F.concat(*parts, end))
 
         count = F.size(F.split(canonical, "[ -]"))
@@ -135,14 +139,17 @@ def _candidate(key: str, attempt: int) -> Column:
     octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: (_byte(digest, k * 2) * 256 + _byte(digest, k * 2 + 1)) % 254 + 1), ".")
     domain = F.regexp_extract(canonical, r"\.[a-z]{2,}$", 0)
     stem = F.substring(canonical, F.lit(1), F.length(canonical) - F.length(domain))
+    more = attempt // GROW
+    letters, digits = F.lit("a" + "x" * (more - 1) if more else ""), F.lit("0" * more)
     return (
         F.when(kind == "ip", octets)
         .when(kind == "card", _checked(_redrawn(canonical, digest, 1)))
-        .when(kind == "phone", _redrawn(canonical, digest, 1))
-        .when(kind == "email", F.concat(_redrawn(stem, digest), domain))
+        .when(kind == "phone", _redrawn(F.concat(canonical, digits), digest, 1))
+        .when(kind == "email", F.concat(_redrawn(F.concat(letters, stem), digest), domain))
         .when(kind == "iban", _redrawn(canonical, digest, 2))
         .when(kind == "key_id", _redrawn(canonical, digest, 4))
-        .when(kind == "name", _renamed(canonical, digest))
+        .when(kind == "name", _renamed(canonical, digest, 3 + more))
+        .when(kind == "credential", _redrawn(F.concat(canonical, letters), digest))
         .otherwise(_redrawn(canonical, digest))
     )
 
@@ -177,8 +184,12 @@ def _placed(match: Column, kind: Column, surrogate: Column) -> Column:
         new = F.when(c.between("A", "Z"), F.upper(new)).otherwise(new)
         return F.struct(F.concat(state["out"], F.when(filled, new).otherwise(c)).alias("out"), F.when(filled, state["at"] + 1).otherwise(state["at"]).alias("at"))
 
-    spread = F.aggregate(chars, start, step, lambda s: s["out"])
-    upper = F.aggregate(chars, start, lambda s, c: F.struct(F.concat(s["out"], F.when(c.between("A", "Z"), F.upper(F.substring(surrogate, s["at"], F.lit(1)))).otherwise(F.substring(surrogate, s["at"], F.lit(1)))).alias("out"), (s["at"] + 1).alias("at")), lambda s: s["out"])
+    def whole(state: Column) -> Column:
+        """What was placed, and after it what is longer than the match."""
+        return F.concat(state["out"], F.substring(surrogate, state["at"], F.length(surrogate)))
+
+    spread = F.aggregate(chars, start, step, whole)
+    upper = F.aggregate(chars, start, lambda s, c: F.struct(F.concat(s["out"], F.when(c.between("A", "Z"), F.upper(F.substring(surrogate, s["at"], F.lit(1)))).otherwise(F.substring(surrogate, s["at"], F.lit(1)))).alias("out"), (s["at"] + 1).alias("at")), whole)
     return (
         F.when(kind.isin("phone", "card", "national_id", "iban"), spread)
         .when(kind == "email", upper)

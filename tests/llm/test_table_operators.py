@@ -211,3 +211,14 @@ def test_packed_sequences_follow_the_mix(spark):
         return early[early.doc_id % 2 == 0].length.sum() / early.length.sum()
 
     assert first_share({"a": 0.9, "b": 0.1}) > 0.75 and first_share({"a": 0.1, "b": 0.9}) < 0.25
+
+
+def test_more_names_than_short_surrogates(spark):
+    names = [f"m|{a}{b}{c}ov" for a in "BCDFGHKLMNPRSTVZWJ" for b in "abcdefghijklmnopq" for c in "abcdefghijklmnopqr"][:5000]
+    mails = [f"{a}@{b}.co" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    entities = spark.createDataFrame([("name", n) for n in names] + [("email", m) for m in mails], "kind string, canonical string")
+    rows = pii.assign(entities).collect()
+    assert len(rows) == len(names) + len(mails) == len({(r.kind, r.surrogate) for r in rows}) == len({(r.kind, r.canonical) for r in rows})
+    assert {r.surrogate for r in rows}.isdisjoint({n[2:] for n in names} | set(mails))
+    longer = spark.createDataFrame([("+1 415", "14159"), ("+1 415", "1415")], "m string, s string").select(pii._placed(F.col("m"), F.lit("phone"), F.col("s")).alias("new"))
+    assert [r.new for r in longer.collect()] == ["+1 4159", "+1 415"]
