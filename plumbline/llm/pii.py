@@ -35,6 +35,23 @@ from .shared import materialise
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _TITLES_F = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа")
 _TITLES_M = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин")
+#: Titles without gender; a name with these alone counts with the male ones.
+_TITLES_N = ("Dr", "Prof", "Professor", "Doctor", "Docteur", "Доктор", "Профессор")
+_TITLES = rf"(?:(?:{'|'.join(_TITLES_F + _TITLES_M + _TITLES_N)})\.? )+"
+#: Phone numbers of 8 to 15 digits: in the groups of North America; with + and groups of any width; with a leading 0 and at
+#: least one separator, unless it is a date; and the national forms in pairs of Spain and Russia.
+_ALONE, _END = r"(?<![\d+])(?<!\d[.,\-/])", r"(?!\d)(?![.,\-/]\d)"
+_DATE = r"\d{1,2}[./\-]\d{1,2}[./\-]\d{2,4}(?!\d)(?![ .\-/]\d{2}(?!\d))"
+_PHONES = (
+    r"(?<![\d+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}[ .\-]?\d{3,4}(?!\d)",
+    r"(?<!\d)\+\d{1,3}[ .\-]?(?:\(0\)[ ]?)?\d{1,3}(?:[ .\-]\d{2}){3,4}(?!\d)",
+    r"(?<!\d)\+\d(?:[ .\-/]?[()]?[ ]?\d){7,14}(?!\d)",
+    rf"{_ALONE}(?!{_DATE})0[1-9](?:[ .\-]\d{{2}}){{4}}(?!\d)",
+    rf"{_ALONE}(?!{_DATE})(?!\d+(?!\d|[ .\-/)]{{1,2}}\d))\(?0[1-9](?:[ .\-/]?\)?[ ]?\d){{6,13}}{_END}",
+    rf"{_ALONE}[6-9]\d{{2}}(?:[ .\-]\d{{2}}){{3}}{_END}",
+    rf"{_ALONE}(?:8[ \-]?)?\(\d{{3,4}}\)[ \-]?\d{{2,3}}(?:[ \-]\d{{2}}){{2}}{_END}",
+    rf"{_ALONE}8[ \-]\d{{3}}[ \-]\d{{3}}(?:[ \-]\d{{2}}){{2}}{_END}",
+)
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
     "key_id": r"\bAKIA[0-9A-Z]{16}\b",
@@ -44,10 +61,10 @@ PATTERNS = {
     "card": r"(?<![\d])(?:\d{4}[ \-]?){3}\d{1,7}(?!\d)",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\d]|\.\d)",
     "national_id": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
-    "phone": r"(?<![\d+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}[ .\-]?\d{3,4}(?!\d)|(?<!\d)\+\d{8,14}(?!\d)",
-    "name": rf"\b(?:{'|'.join(_TITLES_F + _TITLES_M)})\.? \p{{Lu}}\p{{Ll}}+(?:[ \-]\p{{Lu}}\p{{Ll}}+){{0,2}}",
+    "phone": "|".join(_PHONES),
+    "name": rf"\b{_TITLES}\p{{Lu}}\p{{Ll}}+(?:[ \-]\p{{Lu}}\p{{Ll}}+){{0,2}}",
 }
-_HINT = rf"[0-9@]|(?i:token|secret|api_key|passw|pwd)|(?:{'|'.join(_TITLES_F + _TITLES_M)})\.? "
+_HINT = rf"[0-9@]|(?i:token|secret|api_key|passw|pwd)|{_TITLES}"
 _ALL = "(?U)" + "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Syllables of surrogate names, and the endings by gender, for each script.
 _NAMES = {"latin": (("ba", "ri", "lo", "ne", "ka", "mi", "to", "su", "ve", "da", "fe", "no", "ra", "pi", "ga", "le"), "na", "rd"), "cyrillic": (("ба", "ри", "ло", "не", "ка", "ми", "то", "су", "ве", "да", "фе", "но", "ра", "пи", "га", "ле"), "на", "в")}
@@ -70,13 +87,13 @@ def _canonical(kind: Column, match: Column) -> Column:
         F.when(kind.isin("phone", "card", "national_id"), digits)
         .when(kind == "iban", F.regexp_replace(match, " ", ""))
         .when(kind == "email", F.lower(match))
-        .when(kind == "name", F.concat_ws("|", F.when(_female(match), "f").otherwise("m"), F.regexp_replace(match, r"(?U)^\p{L}+\.? ", "")))
+        .when(kind == "name", F.concat_ws("|", F.when(_female(match), "f").otherwise("m"), F.regexp_replace(match, f"(?U)^{_TITLES}", "")))
         .otherwise(match)
     )
 
 
 def _female(match: Column) -> Column:
-    return match.rlike(rf"^(?:{'|'.join(_TITLES_F)})\b")
+    return match.rlike(rf"(?U)^{_TITLES}") & match.rlike(rf"(?U)^(?:(?:{'|'.join(_TITLES_N)})\.? )*(?:{'|'.join(_TITLES_F)})\b")
 
 
 def _byte(digest: Column, k: Column) -> Column:
@@ -193,7 +210,7 @@ def _placed(match: Column, kind: Column, surrogate: Column) -> Column:
     return (
         F.when(kind.isin("phone", "card", "national_id", "iban"), spread)
         .when(kind == "email", upper)
-        .when(kind == "name", F.concat(F.regexp_extract(match, r"(?U)^\p{L}+\.? ", 0), surrogate))
+        .when(kind == "name", F.concat(F.regexp_extract(match, f"(?U)^{_TITLES}", 0), surrogate))
         .otherwise(surrogate)
     )
 

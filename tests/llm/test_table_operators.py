@@ -222,3 +222,18 @@ def test_more_names_than_short_surrogates(spark):
     assert {r.surrogate for r in rows}.isdisjoint({n[2:] for n in names} | set(mails))
     longer = spark.createDataFrame([("+1 415", "14159"), ("+1 415", "1415")], "m string, s string").select(pii._placed(F.col("m"), F.lit("phone"), F.col("s")).alias("new"))
     assert [r.new for r in longer.collect()] == ["+1 4159", "+1 415"]
+
+
+def test_phones_and_titles_of_every_language(spark):
+    phones = ["06 12 34 56 78", "01.23.45.67.89", "+33 6 12 34 56 78", "+33 1 23 45 67 89", "+34 612 34 56 78", "612 34 56 78", "0171/1234567", "030 1234567", "+49 (0)30 1234567", "+7 (495) 123-45-67", "8 (495) 123-45-67", "8 495 123-45-67", "+1 (415) 555-2671"]
+    kept = ["am 01.02.2024 um 10", "05/06/2024", "2024-01-15", "0.12345678", "00012345678", "1 000 of 20", "the number 12 and 345"]
+    names = {"Dr Weber": "Weber", "Prof. Anna Roth": "Anna Roth", "Frau Dr. Lang": "Lang", "Herr Prof. Dr. Stein": "Stein"}
+    texts = [*(f"call {p}, now" for p in phones), *kept, *(f"with {n} here" for n in names)]
+    got = [r.text for r in pii.surrogates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    for old, new in zip(phones, got):
+        digits = "".join(c for c in new if c.isdigit())
+        assert new != f"call {old}, now" and len(digits) == sum(c.isdigit() for c in old) and "".join(c for c in old if c.isdigit())[-6:] not in digits, (old, new)
+    assert got[len(phones) : len(phones) + len(kept)] == kept
+    for (titled, name), new in zip(names.items(), got[len(phones) + len(kept) :]):
+        assert name not in new and new.startswith("with " + titled[: -len(name)]) and new.endswith(" here"), new
+    assert "na here" in got[-2] and "rd here" in got[-1]
