@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from . import arrays
 from .arrays import U, mix
-from .shared import materialise
+from .shared import discard, materialise
 
 #: Bytes of a repeat; bytes of an anchor; group size from which groups are split; bytes sorted at a time.
 LENGTH, GRAM, HOT, CHUNK = 100, 32, 5000, 1 << 20
@@ -91,19 +91,17 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose gram another row has too, with their number; rows come sorted by gram."""
-    for table in _runs(batches, "gram", 200_000):
-        gram = table.column("gram").to_numpy()
-        new = np.ones(len(gram), bool)
-        new[1:] = gram[1:] != gram[:-1]
-        first = np.flatnonzero(new)
-        size = np.diff(np.append(first, len(gram)))
-        times = np.repeat(size, size)
-        keep = times > 1
-        if keep.any():
-            some = table.select(["doc_id", "place"]).filter(pa.array(keep)).append_column("times", pa.array(times[keep].astype(np.int64)))
-            yield from some.combine_chunks().to_batches()
+def repeated(grams: DataFrame) -> DataFrame:
+    """doc_id, place and times of the rows of grams(gram, doc_id, place) whose gram another row has too.
+
+    Grams are counted with partial sums. Rows of grams above HOT meet their number in a broadcast
+    (one row for each such gram, so less than a HOT-th of the rows), and are never shuffled.
+    """
+    counts = materialise(grams.groupBy("gram").agg(F.count("*").alias("times")).where("times > 1"), "counts")
+    hot = F.broadcast(counts.where(F.col("times") > HOT))
+    often = grams.join(hot, "gram")
+    others = grams.join(hot.select("gram"), "gram", "left_anti").join(counts.where(F.col("times") <= HOT), "gram")
+    return often.unionByName(others).select("doc_id", "place", "times")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], key: str, rows: int) -> Iterator[pa.Table]:
@@ -316,9 +314,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     kept.repartition(buckets, "doc_id").write.bucketBy(buckets, "doc_id").saveAsTable(table)
     texts = spark.table(table)
 
-    grams = texts.select("doc_id", "text").mapInArrow(_anchored, "gram long, doc_id long, place int")
-    again = grams.repartition("gram").sortWithinPartitions("gram").mapInArrow(_repeated, "doc_id long, place int, times long")
-    again = materialise(again, "anchors")
+    grams = materialise(texts.select("doc_id", "text").mapInArrow(_anchored, "gram long, doc_id long, place int"), "grams")
+    again = materialise(repeated(grams), "anchors")
+    discard(grams)
     lists = again.groupBy("doc_id").agg(F.collect_list(F.struct("place", "times")).alias("found"))
     stretches = texts.join(lists, "doc_id").select("doc_id", "text", "found").mapInArrow(_stretches, "key long, doc_id long, start long, stop long, bytes binary")
     stretches = materialise(stretches, "stretches")

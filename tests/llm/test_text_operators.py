@@ -226,3 +226,15 @@ def test_repeats_match_brute_force(spark, monkeypatch, hot):
         want[i] = (len(raw), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())
     got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.remove_repeats(docs).collect()}
     assert got == want
+
+
+def test_a_frequent_anchor_stays_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", 50)
+    grams = spark.range(4000, numPartitions=4).select(F.when(F.col("id") % 2 == 0, 7).otherwise((F.col("id") - 1) / 4).cast("long").alias("gram"), F.col("id").alias("doc_id"), F.lit(3).alias("place"))
+    grams = grams.unionByName(spark.createDataFrame([(-5, 9000, 1)], "gram long, doc_id long, place int"))
+    counts = {r.gram: r["count"] for r in grams.groupBy("gram").count().collect()}
+    want = sorted((r.doc_id, r.place, counts[r.gram]) for r in grams.collect() if counts[r.gram] > 1)
+    found = suffix_dedup.repeated(grams)
+    assert sorted(map(tuple, found.collect())) == want and len(want) < grams.count()
+    tasks = found.where("times > 50").groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in tasks) <= 1000
