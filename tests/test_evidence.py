@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
 from plumbline.functions import values as X
-from plumbline.operators import claims, context, coverage, grounding, judgements, mutations, release
+from plumbline.operators import claims, context, coverage, findings, grounding, judgements, mutations, release
 from plumbline.plans.queries import ORACLES, QUERIES
 from plumbline.sources import replies, sinks, uploads
 from plumbline.streaming import jobs
@@ -179,3 +179,13 @@ def test_judgements_with_nulls_and_empty_tables(spark):
     proposed = spark.createDataFrame([("a", 1, None, None, None)], "analysis_id string, pos int, text string, finding_ids array<string>, quotes array<string>")
     shown = spark.createDataFrame([], "analysis_id string, finding_id string, quote string")
     assert judgements.notes(proposed, shown).count() == 1
+
+
+def test_near_quotes_are_judged_in_their_context(spark):
+    page = "Intro text here. The cover includes all sudden water damage to the insured building. This cover does not apply to floods. The premium is due monthly."
+    pages = spark.createDataFrame([("d", 1, "processed", page)], "document_id string, page_number int, status string, text string")
+    quotes = ["the cover includes all sudden water damge to the insured building", "The cover includes all sudden water damage"]
+    rows = [("d", k, q, 1, q, 1) for k, q in enumerate(quotes)]
+    got = findings.with_evidence(spark.createDataFrame(rows, "document_id string, proposal_id int, claim string, page int, quote string, page_count int"), pages).orderBy("proposal_id").collect()
+    assert [r.match for r in got] == ["near", "exact"] and "window" not in got[0].asDict()
+    assert all(r.context == "the cover includes all sudden water damage to the insured building. this cover does not apply to floods." for r in got), got
