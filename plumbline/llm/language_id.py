@@ -19,6 +19,7 @@ their own. Columns besides the id, text and language are ignored. Texts are read
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,8 +31,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Longest piece, in code points, that the lattice uses; words of up to LONG letters go through arrays, AT_ONCE words at a time.
-MAX_PIECE, LONG, AT_ONCE = 12, 32, 8192
+#: Words of up to LONG letters go through arrays, AT_ONCE words at a time, and longer ones alone, with the same sums; letters
+#: after which forward sums are rescaled.
+LONG, AT_ONCE, RESCALE = 32, 8192, 8
 #: Pseudo-count of each piece in each language, and a floor for a letter that is no piece.
 ALPHA = 0.05
 _LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -44,7 +46,7 @@ def load_pieces(path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found = {model.id_to_piece(k) for k in range(model.get_piece_size())}
-    good = {p for p in found if len(p) <= MAX_PIECE and p.strip(_MARK) and p == p.lower() and p.lstrip(_MARK).isalpha()}
+    good = {p for p in found if p.strip(_MARK) and p == p.lower() and p.lstrip(_MARK).isalpha()}
     return sorted(good | {_MARK})
 
 
@@ -61,6 +63,7 @@ class Lattice:
     def __init__(self, pieces: list[str]):
         self.index = {p: k for k, p in enumerate(pieces)}
         self.unknown = len(pieces)
+        self.longest = max(map(len, pieces), default=1)
         codes = [self._hash(p) for p in pieces]
         order = np.argsort(np.array(codes, np.uint64))
         self.hashes = np.array(codes, np.uint64)[order]
@@ -79,7 +82,7 @@ class Lattice:
         mult = np.uint64(0x100000001B3)
         for start in range(length):
             h = np.zeros(words, np.uint64)
-            for end in range(start + 1, min(length, start + MAX_PIECE) + 1):
+            for end in range(start + 1, min(length, start + self.longest) + 1):
                 h = h * mult + points[:, end - 1] + np.uint64(1)
                 key = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
                 at = np.minimum(np.searchsorted(self.hashes, key), len(self.hashes) - 1)
@@ -102,13 +105,25 @@ class Lattice:
             points = np.array([[ord(c) for c in words[k]] for k in rows], np.uint64)
             alpha = np.zeros((length + 1, len(rows), model.shape[1]))
             alpha[0] = 1.0
+            scale = np.zeros((len(rows), model.shape[1]))
             for start, end, piece in self.edges(points):
+                if start and start % RESCALE == 0 and end == start + 1:  # alpha[start] is complete
+                    top = alpha[start].copy()
+                    alpha[start : start + self.longest + 1] /= top
+                    scale += np.log(top)
                 hit = np.flatnonzero(piece >= 0)
                 if len(hit):
                     alpha[end][hit] += alpha[start][hit] * model[piece[hit]]
-            out[rows] = np.log(np.maximum(alpha[length], 1e-300))
+            out[rows] = np.log(alpha[length]) + scale
         return out
 
+    def _ending(self, word: str, end: int) -> Iterator[tuple[int, int]]:
+        """Start and number of each piece of the word that ends at `end`."""
+        for start in range(max(0, end - self.longest), end):
+            piece = self.index.get(word[start:end], self.unknown if end == start + 1 else None)
+            if piece is not None:
+                yield start, piece
+
     def _long(self, word: str, model: np.ndarray) -> np.ndarray:
         """The same sum for one long word, rescaled at every letter."""
         n, width = len(word), model.shape[1]
@@ -116,14 +131,11 @@ class Lattice:
         scale = np.zeros(width)
         for end in range(1, n + 1):
             total = np.zeros(width)
-            for start in range(max(0, end - MAX_PIECE), end):
-                piece = self.index.get(word[start:end], self.unknown if end == start + 1 else None)
-                if piece is not None:
-                    total = total + alpha[start] * model[piece]
-            top = np.maximum(total, 1e-300)
-            scale += np.log(top)
-            for k in range(max(0, end - MAX_PIECE + 1), end):
-                alpha[k] = alpha[k] / top
+            for start, piece in self._ending(word, end):
+                total = total + alpha[start] * model[piece]
+            scale += np.log(total)
+            for k in range(max(0, end - self.longest + 1), end):
+                alpha[k] = alpha[k] / total
             alpha[end] = np.ones(width)
         return scale
 
@@ -135,9 +147,8 @@ class Lattice:
             by_length.setdefault(len(w), []).append(k)
         for length, rows in _batches(by_length):
             if length > LONG:
-                for k in rows:  # of a long word each letter window of LONG counts alone
-                    parts = [words[k][i : i + LONG] for i in range(0, length, LONG)]
-                    counts += self.expected(parts, np.full(len(parts), weights[k]), prior)
+                for k in rows:
+                    self._long_expected(words[k], weights[k], prior, counts)
                 continue
             points = np.array([[ord(c) for c in words[k]] for k in rows], np.uint64)
             edges = list(self.edges(points))
@@ -149,13 +160,34 @@ class Lattice:
                 forward[end] += forward[start] * prior[piece]
             for start, end, piece in reversed(edges):
                 backward[start] += backward[end] * prior[piece]
-            share = weights[rows] / np.maximum(forward[length], 1e-300)
+            share = weights[rows] / forward[length]
             for start, end, piece in edges:
                 got = forward[start] * backward[end] * prior[piece] * share
                 counts += np.bincount(piece + (piece < 0) * (len(prior)), got, len(prior))[: len(prior)]
         return counts
 
 
+    def _long_expected(self, word: str, weight: float, prior: np.ndarray, counts: np.ndarray) -> None:
+        """Adds the expected piece counts of one long word; sums are divided at every letter by the forward sum there."""
+        n = len(word)
+        forward, backward, tops = [1.0] + [0.0] * n, [0.0] * n + [1.0], [1.0] * (n + 1)
+        edges = [[(start, piece, float(prior[piece])) for start, piece in self._ending(word, end)] for end in range(1, n + 1)]
+
+        def between(start: int, end: int) -> float:
+            return math.prod(tops[start + 1 : end])
+
+        for end, found in enumerate(edges, 1):
+            # forward[k] is scaled to 1, so an edge from start is divided by the tops between
+            tops[end] = sum(p / between(start, end) for start, _, p in found)
+            forward[end] = 1.0
+        for end in range(n, 0, -1):
+            for start, _, p in edges[end - 1]:
+                backward[start] += backward[end] * p / between(start, end) / tops[end]
+        for end, found in enumerate(edges, 1):
+            for start, piece, p in found:
+                counts[piece] += weight * p * backward[end] / between(start, end) / tops[end]
+
+
 def _words(text: str | None) -> list[str]:
     return [_MARK + w for w in _LETTERS.findall(text.lower())] if text else []
 
@@ -186,7 +218,7 @@ def learn(docs: DataFrame, pieces: list[str], text: str = "text", lang: str = "l
             for t, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if name is not None:
                     seen.setdefault(name, Counter()).update(_words(t))
-            if sum(map(len, seen.values())) > 300_000:
+            if sum(map(len, seen.values())) > 150_000:
                 flush()
         flush()
         for name, got in found.items():
@@ -209,7 +241,7 @@ def learn(docs: DataFrame, pieces: list[str], text: str = "text", lang: str = "l
 class Predictor:
     """Scores texts; remembers the words it has scored."""
 
-    def __init__(self, pieces: list[str], languages: list[str], model: np.ndarray, most: int = 400_000):
+    def __init__(self, pieces: list[str], languages: list[str], model: np.ndarray, most: int = 150_000):
         self.lattice, self.names, self.model, self.most = Lattice(pieces), languages, model, most
         self.known: dict[str, int] = {}
         self.scores = np.zeros((0, len(languages)))
@@ -253,8 +285,14 @@ def identify(docs: DataFrame, languages: list[str], model: np.ndarray, pieces: l
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text)).mapInArrow(predict, f"doc_id {kind}, lang_pred string, score double")
 
 
-def accept(docs: DataFrame, languages: list[str], model: np.ndarray, pieces: list[str], least: float = 0.5, text: str = "text", lang: str = "lang") -> DataFrame:
-    """docs without the rows whose language cannot be told (`und`, or a posterior under `least`); a null language gets the prediction."""
+def accept(
+    docs: DataFrame, languages: list[str], model: np.ndarray, pieces: list[str], least: float = 0.5, sure: float = 0.999, text: str = "text", lang: str = "lang"
+) -> DataFrame:
+    """docs without the rows whose language cannot be told (`und`, or a posterior under `least`) or is surely another.
+
+    A row goes as well if its own language is one of the learned ones and the text has another with a posterior of `sure`
+    or more. A null language gets the prediction.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((pieces, languages, model))
     at_text, at_lang = docs.columns.index(text), docs.columns.index(lang)
 
@@ -264,9 +302,11 @@ def accept(docs: DataFrame, languages: list[str], model: np.ndarray, pieces: lis
             for lo in range(0, whole.num_rows, 500):
                 batch = whole.slice(lo, 500)
                 names, post = predictor.texts(batch.column(at_text).to_pylist())
-                good = np.array([n != "und" for n in names]) & (post >= least)
                 own = batch.column(at_lang)
+                good = np.array([n != "und" for n in names]) & (post >= least)
+                good &= ~np.array([o in languages and o != n and p >= sure for o, n, p in zip(own.to_pylist(), names, post, strict=True)])
                 columns = [pc.coalesce(own, pa.array(names, own.type)) if k == at_lang else c for k, c in enumerate(batch.columns)]
                 yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(good))
+            pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(keep, docs.schema)
