@@ -1,8 +1,9 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A text's paragraphs (its lines that are not blank, ends trimmed; one of more than LONG
-bytes counts by its sentences) are hashed, and each distinct digest goes into HASHES cells of a table, one in each of as many equal ranges. A cell holds the number of digests in it, their
-exclusive or, and that of their check hashes. The tables of two texts subtract cell by
+A text's paragraphs are its lines, cut after a full stop, exclamation or question mark that
+a space follows, without blank ones and trimmed. They are hashed, and each distinct digest
+goes into HASHES cells of a table, one in each of as many equal ranges. A cell holds the
+number of digests in it, their exclusive or, and that of their check hashes. The tables of two texts subtract cell by
 cell: digests of both cancel. Cells with a single digest left give it up, which
 frees others; when all cells are empty, the difference of the two texts is known exactly.
 When peeling gets stuck, both texts are sketched again in a table twice as large, and so
@@ -15,7 +16,8 @@ The fingerprint string of a text is the digests' number and the cells of its sma
 table, in hexadecimal: equal texts have equal fingerprints.
 
 Edge cases: a null or empty text has no paragraphs and a table of zeros; two texts
-without paragraphs have likeness 1. Repeated paragraphs count once. Texts are read whole.
+without paragraphs have likeness 1. Repeated paragraphs count once. Rows that share an id
+follow each other by text. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -24,26 +26,25 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays
 from .arrays import U, mix
 
-#: Cells a digest goes into; cells of the smallest table in each range; doublings before the sets are compared outright; bytes of a paragraph that stays whole.
-HASHES, CELLS, DOUBLINGS, LONG = 3, 8, 22, 120
-#: Neighbouring documents are dealt into ranges with about this many rows; ranges in a band.
-GROUP, BAND = 2048, 4096
+#: Cells a digest goes into; cells of the smallest table in each range.
+HASHES, CELLS = 3, 8
+#: Neighbouring documents are dealt into ranges with about this many ids.
+GROUP = 2048
 _SEEDS = mix(np.arange(1, HASHES + 2, dtype=U) * U(0x9E3779B97F4A7C15))
 
 
 def paragraphs(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct digests of each text's paragraphs, ascending in each text, and offsets."""
-    cut = np.unique(np.concatenate([off[:-1], np.flatnonzero(buf == 10) + 1]))
     stops = np.flatnonzero(((buf[:-1] == 46) | (buf[:-1] == 33) | (buf[:-1] == 63)) & (buf[1:] == 32)) + 1
-    line = np.searchsorted(cut, stops, side="right") - 1
-    cut = np.union1d(cut, stops[np.append(cut[1:], len(buf))[line] - cut[line] > LONG])
+    cut = np.unique(np.concatenate([off[:-1], np.flatnonzero(buf == 10) + 1, stops]))
     cut = cut[cut < len(buf)] if len(buf) else np.zeros(0, np.int64)
     if not len(cut):
         return np.zeros(0, U), np.zeros(len(off), np.int64)
@@ -111,7 +112,7 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     owner_a, owner_b = np.repeat(np.arange(pairs), n_a), np.repeat(np.arange(pairs), n_b)
     apart, open_ = np.zeros(pairs, np.int64), np.arange(pairs)
     size = CELLS
-    for _ in range(DOUBLINGS):
+    while len(open_):
         # as many pairs at a time as keep the tables small
         left = []
         width = max(1, (1 << 18) // (HASHES * size))
@@ -125,12 +126,8 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
             found, whole = peel(x[0] - y[0], x[1] ^ y[1], x[2] ^ y[2], size)
             apart[some[whole]] = found[whole]
             left.append(some[~whole])
-        open_ = np.concatenate(left) if left else open_[:0]
-        if not len(open_):
-            break
+        open_ = np.concatenate(left)
         size *= 2
-    for k in open_:  # not reached in practice: the sets themselves
-        apart[k] = len(np.setxor1d(a[0][a[1][k] : a[1][k + 1]], b[0][b[1][k] : b[1][k + 1]]))
     both = (n_a + n_b - apart) / 2
     union = n_a + n_b - both
     return np.where(union > 0, both / np.maximum(union, 1), 1.0)
@@ -152,32 +149,42 @@ def compare(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     """Fingerprints of every document and of its edited text, and their likenesses; see the module's text.
 
     The edited text has the last floor(n/3) code points replaced by the first as many (or all) of the next
-    document in descending id; the last one's next is the first. Rows are dealt by ranges of ids, and the largest
-    id of each range is also a guest in the next range above that has rows, so texts travel once. Rows with a null
-    id have no neighbours and are compared with themselves; of rows with one id each takes its copy as the next.
+    document in descending id; the last one's next is the first. Rows are dealt into ranges of ids that end with every
+    GROUP-th id there is, and the row with that last id is also a guest in the range above, so texts travel once. Rows with
+    a null id have no neighbours and are compared with themselves; of rows with one id each takes its copy as the next.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    span = rows.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("doc_id").alias("n"))
-    wide = F.ceil((F.col("hi") - F.col("lo") + 1) * F.lit(float(GROUP)) / F.col("n")).cast("long")
-    span = span.select("lo", F.greatest(F.lit(1), wide).alias("width"))
-    known = rows.where("doc_id is not null").join(F.broadcast(span))  # one row
-    known = known.withColumn("part", F.floor((F.col("doc_id") - F.col("lo")) / F.col("width"))).select("part", "doc_id", "text")
-
-    tops = known.groupBy("part").agg(F.max("doc_id").alias("doc_id"), F.max_by("text", "doc_id").alias("text"))
-    band = F.floor(F.col("part") / BAND)
-    bands = known.groupBy(band.alias("band")).agg(F.min("part").alias("first_part"))
-    # one row for GROUP * BAND ids, some eight million
-    above = bands.select("band", F.lead("first_part").over(Window.orderBy("band")).alias("above"))
-    follows = F.lead("part").over(Window.partitionBy("band").orderBy("part"))
-    linked = tops.withColumn("band", band).withColumn("goes", follows).join(F.broadcast(above), "band")
-    guests = linked.select(F.coalesce("goes", "above", F.lit(0)).alias("part"), "doc_id", "text", F.lit(True).alias("guest"))
-    dealt = known.withColumn("guest", F.lit(False)).unionByName(guests)
-    dealt = dealt.repartition("part").sortWithinPartitions("part", "guest", F.desc("doc_id"))
+    ids = rows.select("doc_id").where("doc_id is not null").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ends = np.array(sorted(r[0] for r in ids.mapInArrow(_every, "doc_id long").collect()), np.int64)  # one id for GROUP of them
+    shared = rows.sparkSession.sparkContext.broadcast(np.unique(ends))
+
+    @F.pandas_udf("array<long>")
+    def parts(ids: pd.Series) -> pd.Series:
+        """The range of an id, and the one it is a guest in if it ends its own."""
+        own = np.searchsorted(shared.value, ids.to_numpy(np.int64))
+        last = shared.value[own] == ids.to_numpy(np.int64)
+        return pd.Series([[a, (a + 1) % len(shared.value)] if z else [a] for a, z in zip(own.tolist(), last.tolist(), strict=True)])
+
+    known = rows.where("doc_id is not null").select(F.posexplode(parts("doc_id")).alias("role", "part"), "doc_id", "text")
+    dealt = known.select("part", "doc_id", "text", (F.col("role") == 1).alias("guest"))
+    dealt = dealt.repartition("part").sortWithinPartitions("part", "guest", F.desc("doc_id"), "text")
     alone = rows.where("doc_id is null").select(F.lit(-1).cast("long").alias("part"), "doc_id", "text", F.lit(None).cast("boolean").alias("guest"))
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return dealt.mapInArrow(_compared, schema).unionByName(alone.mapInArrow(_compared, schema))
 
 
+def _every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every GROUP-th of the ascending ids of a partition, and its last."""
+    seen, last = 0, None
+    for batch in batches:
+        if batch.num_rows:
+            ids = batch.column(0)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.arange((GROUP - 1 - seen) % GROUP, len(ids), GROUP)))], names=["doc_id"])
+            seen, last = seen + len(ids), ids[-1].as_py()
+    if last is not None:
+        yield pa.RecordBatch.from_pydict({"doc_id": pa.array([last], pa.int64())})
+
+
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for ids, texts, nexts in _followed(batches):
         edited = [t[: len(t) - len(t) // 3] + n[: len(t) // 3] for t, n in zip(texts, nexts, strict=True)]
