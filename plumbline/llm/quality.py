@@ -10,7 +10,8 @@ Labels are per document, so learning alternates twice: fit the field to the line
 clearly good become good, as long as the document keeps a bad line.
 
 Learning takes at most SAMPLE labelled documents, those with the smallest hashes of their
-ids, and of these the ones with at most SAMPLE_LINES lines; nothing else is bounded.
+ids, and of these as many, in that order, as have LINES lines together; nothing else is
+bounded.
 
 Edge cases: a null or empty text is one empty line and is scored as such. Rows without a
 label, or with a null one, teach nothing; with no labels at all every score is 0.5.
@@ -23,13 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import arrays
 
 #: Bounds of the learning sample; rounds of relabelling; steps of the optimiser; ridge.
-SAMPLE, SAMPLE_LINES, ROUNDS, STEPS, RIDGE = 3000, 2000, 2, 120, 1e-3
+SAMPLE, LINES, ROUNDS, STEPS, RIDGE = 3000, 300_000, 2, 120, 1e-3
 _UPPER, _LOWER, _DIGIT, _SPACE, _POINT, _SYMBOL, _BAR, _BANG, _HIGH = range(9)
 
 
@@ -41,7 +42,25 @@ def _classes() -> np.ndarray:
     return out
 
 
-_CLASS = _classes()
+def _letters() -> np.ndarray:
+    """The class of the second byte of each two-byte sequence: upper and lower case letters, as Unicode has them."""
+    out = np.full(1 << 16, _HIGH, np.uint8)
+    for code in range(0x80, 0x800):
+        first, second = chr(code).encode()
+        if chr(code).isalpha():
+            out[first << 8 | second] = _UPPER if chr(code).isupper() else _LOWER
+    return out
+
+
+_CLASS, _TWO = _classes(), _letters()
+
+
+def kinds(buf: np.ndarray) -> np.ndarray:
+    """The class of each byte; of a letter of two bytes the second has the letter's."""
+    out = _CLASS[buf]
+    high = np.flatnonzero(buf[1:] >= 128) + 1
+    out[high] = _TWO[buf[high - 1].astype(np.int32) << 8 | buf[high]]
+    return out
 
 
 def lines(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,7 +80,7 @@ def features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     """Features [lines, width] of zeros and ones, line lengths in bytes, and each text's first line."""
     starts, ends, first = lines(buf, off)
     size = ends - starts
-    kinds = _CLASS[buf]
+    kind = kinds(buf)
 
     def count(mask: np.ndarray) -> np.ndarray:
         run = np.zeros(len(mask) + 1, np.int32)
@@ -69,7 +88,7 @@ def features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         return run[ends] - run[starts]
 
     n = np.maximum(size, 1)
-    upper, lower, digit, space, symbol, bar, bang = (count(kinds == k) for k in (_UPPER, _LOWER, _DIGIT, _SPACE, _SYMBOL, _BAR, _BANG))
+    upper, lower, digit, space, symbol, bar, bang = (count(kind == k) for k in (_UPPER, _LOWER, _DIGIT, _SPACE, _SYMBOL, _BAR, _BANG))
     letters = np.maximum(upper + lower, 1)
     words = space + 1
     sums = arrays.prefix_sums(buf)
@@ -102,8 +121,8 @@ def around(base: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.concatenate([base, before, after], 1)
 
 
-def marginals(emit: np.ndarray, first: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Marginals [lines, 2], transition counts summed over all texts, and log partition of each text.
+def marginals(emit: np.ndarray, first: np.ndarray, trans: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Marginals [lines, 2], transition counts summed over all texts by their weights, and log partition of each text.
 
     All texts take a step together: those with the most lines stand first.
     """
@@ -133,7 +152,8 @@ def marginals(emit: np.ndarray, first: np.ndarray, trans: np.ndarray) -> tuple[n
     inner = np.ones(len(emit), bool)
     inner[first[:-1]] = False
     at = np.flatnonzero(inner)
-    pair = np.exp(alpha[at - 1][:, :, None] + trans[None] + (emit[at] + beta[at])[:, None, :] - zs[at][:, None, None]).sum(0)
+    pair = np.exp(alpha[at - 1][:, :, None] + trans[None] + (emit[at] + beta[at])[:, None, :] - zs[at][:, None, None])
+    pair = pair.sum(0) if weight is None else np.tensordot(np.repeat(weight, counts)[at], pair, 1)
     return np.exp(alpha + beta - zs[:, None]), pair, z
 
 
@@ -150,20 +170,20 @@ class Field:
         return marginals(emit, first, self.trans)[0][:, 1]
 
     def fit(self, x: np.ndarray, first: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> None:
-        """Gradient ascent with adaptive steps on the conditional likelihood; weight: of each text."""
+        """Gradient ascent with adaptive steps on the conditional likelihood, in which each text has its weight."""
         inner = np.ones(len(x), bool)
         inner[first[:-1]] = False
         at = np.flatnonzero(inner)
         seen = np.zeros((2, 2))
-        np.add.at(seen, (labels[at - 1], labels[at]), 1.0)
+        per_line = np.repeat(weight, np.diff(first))
+        np.add.at(seen, (labels[at - 1], labels[at]), per_line[at])
         theta = np.concatenate([self.w, self.trans.ravel()])
         m, v = np.zeros_like(theta), np.zeros_like(theta)
-        per_line = np.repeat(weight, np.diff(first))
         for step in range(1, STEPS + 1):
             self.w, self.trans = theta[: x.shape[1]], theta[x.shape[1] :].reshape(2, 2)
             emit = np.zeros((len(x), 2))
             emit[:, 1] = x @ self.w
-            p, pair, _ = marginals(emit, first, self.trans)
+            p, pair, _ = marginals(emit, first, self.trans, weight)
             grad = np.concatenate([x.T @ ((labels - p[:, 1]) * per_line), (seen - pair).ravel()]) / len(x) - RIDGE * theta
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
             theta = theta + 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
@@ -195,14 +215,17 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         for whole in batches:
             for batch in arrays.slices(whole, "text"):
                 base, size, first = features(*arrays.buffers(batch.column("text")))
-                keep = [k for k in range(batch.num_rows) if first[k + 1] - first[k] <= SAMPLE_LINES]
-                cut = [slice(first[k], first[k + 1]) for k in keep]
+                cut = [slice(a, b) for a, b in zip(first[:-1], first[1:], strict=True)]
                 yield pa.RecordBatch.from_pydict({
-                    "id": [str(batch.column("id")[k]) for k in keep], "y": pa.array([batch.column("y")[k].as_py() for k in keep], pa.int32()),
+                    "id": pa.array(batch.column("id").to_pylist(), batch.column("id").type), "y": batch.column("y"), "lines": pa.array(np.diff(first), pa.int64()),
                     "base": [base[c].astype(np.uint8).tobytes() for c in cut], "size": [size[c].astype(np.int32).tobytes() for c in cut],
                 })
 
-    got = rows.select("id", "y", "text").mapInArrow(measure, "id string, y int, base binary, size binary").toPandas().sort_values("id", kind="stable")
+    kind = docs.schema[doc_id].dataType.simpleString()
+    got = rows.select("id", "y", "text").mapInArrow(measure, f"id {kind}, y int, lines long, base binary, size binary")
+    ahead = Window.orderBy(F.xxhash64("id"), "id", "lines", "size", "base").rowsBetween(Window.unboundedPreceding, 0)  # SAMPLE documents
+    got = got.withColumn("ahead", F.sum("lines").over(ahead)).where(F.col("ahead") <= LINES)
+    got = got.select(F.col("id").cast("string").alias("id"), "y", "base", "size").toPandas().sort_values("id", kind="stable")
     if not len(got):
         return None
     size = [np.frombuffer(x, np.int32) for x in got["size"]]
