@@ -1,16 +1,16 @@
 """Packing into training sequences by cutting-stock column generation.
 
-A document is its token ids and one end id. It is cut into whole sequences of LENGTH, a
-piece of a multiple of UNIT, and a tail shorter than UNIT. Two cutting-stock problems then
-share one solver: tails fill blocks of UNIT tokens, and pieces together with those blocks
-fill sequences of LENGTH // UNIT units. Each has fewer than 64 sizes, whatever the
-corpus, so the histogram of sizes is all that reaches the driver.
+A document is its token ids and one end id. Only documents longer than a sequence are cut,
+into whole sequences of LENGTH and a last piece; all others stay whole. Lengths are counted
+in units of UNIT tokens, rounded up, so the histogram of at most LENGTH / UNIT sizes is all
+that reaches the driver, whatever the corpus, and rounding costs UNIT / 2 tokens a piece on
+average.
 
 The solver is Gilmore and Gomory's: a linear program chooses how often to use each pattern
 of sizes; knapsack dynamic programming over its dual prices finds the next pattern worth
-adding; at the optimum the counts are rounded down, and what is left over, less than one
-bin a pattern, is filled by first-fit decreasing into patterns used once. At most a
-pattern for each size and a few bins are not full: padding does not grow with the corpus.
+adding, until none could save more than a share GAP of all bins; then counts are rounded
+down, and what is left over, less than one bin a pattern, is filled by first-fit decreasing
+into patterns used once.
 
 Pieces are ranked within their size by counts of size and id bucket, and rank decides
 pattern, copy and place by arithmetic against the small pattern table.
@@ -42,14 +42,16 @@ from . import arrays
 from .shared import materialise
 
 #: Tokens of a sequence; tokens of a unit; end id; buckets for ranking; rounds of the patterns where rows have an order.
-LENGTH, UNIT, END, BUCKETS, ROUNDS = 4096, 64, 2, 512, 16
+LENGTH, UNIT, END, BUCKETS, ROUNDS = 4096, 8, 2, 512, 16
+#: Share of the bins that a further pattern must be able to save; steps after which the basis is inverted anew.
+GAP, RENEW = 3e-4, 64
 _SEPARATOR, _SEPARATOR_ID = "<|endoftext|>", 49407
 
 
 class WordTokens:
     """Token ids of words, kept sorted by the words' hashes."""
 
-    def __init__(self, path: str, most: int = 2_000_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -65,8 +67,11 @@ class WordTokens:
 
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words one after the other, and their numbers; words are encoded many at a time, parted by the separator."""
-        parts = [_SEPARATOR.join(words[lo : lo + 256]) for lo in range(0, len(words), 256)]
-        ids = np.concatenate([np.array([_SEPARATOR_ID, *x.ids], np.uint32) for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)])
+        got = []
+        for lo in range(0, len(words), 8192):  # what the tokenizer returns for a word takes far more room than its ids
+            parts = [_SEPARATOR.join(words[k : k + 256]) for k in range(lo, min(lo + 8192, len(words)), 256)]
+            got += [np.array([_SEPARATOR_ID, *x.ids], np.uint32) for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        ids = np.concatenate(got)
         cuts = np.append(np.flatnonzero(ids == _SEPARATOR_ID), len(ids))
         return ids[ids != _SEPARATOR_ID], np.diff(cuts) - 1
 
@@ -125,15 +130,12 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _word_tokens(tokenizer)
         for whole in batches:
-            for batch in arrays.slices(whole, "text", 4 << 20):
+            for batch in arrays.slices(whole, "text", 1 << 20):
                 ids, off = words.texts(*arrays.buffers(batch.column("text")))
                 rows, starts, lengths, sums = [], [], [], []
                 for k in range(batch.num_rows):
                     total = int(off[k + 1] - off[k])
-                    rest = total % LENGTH
                     cuts = [*range(0, total, LENGTH), total]
-                    if rest > UNIT and rest % UNIT:
-                        cuts.insert(-1, total - rest % UNIT)
                     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                         rows.append(k)
                         starts.append(a)
@@ -150,14 +152,14 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
 
 
 def price(values: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """The pattern of greatest value that fits: unbounded knapsack by dynamic programming."""
+    """The pattern of greatest value that fits: unbounded knapsack by dynamic programming; sizes ascend."""
     best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    fitting = np.searchsorted(sizes, np.arange(capacity + 1), side="right").tolist()  # sizes ascend
     for room in range(1, capacity + 1):
         best[room] = best[room - 1]
-        fits = sizes <= room
-        if fits.any():
-            gain = np.where(fits, values + best[np.maximum(room - sizes, 0)], -1.0)
-            k = int(gain.argmax())
+        if fitting[room]:
+            gain = values[: fitting[room]] + best[room - sizes[: fitting[room]]]
+            k = gain.argmax()
             if gain[k] > best[room] + 1e-12:
                 best[room], choice[room] = gain[k], k
     pattern, room = np.zeros(len(sizes), np.int64), capacity
@@ -177,16 +179,24 @@ def cutting_stock(demand: dict[int, int], capacity: int) -> list[tuple[int, dict
         return []
     need = np.array([demand[int(s)] for s in sizes], np.int64)
     basis = np.diag(capacity // sizes).astype(float)
-    for _ in range(2000):
-        inverse = np.linalg.inv(basis)
+    step = 0
+    while True:
+        if step % RENEW == 0:  # else rounding errors add up
+            inverse = np.linalg.inv(basis)
         use = inverse @ need
         duals = inverse.sum(axis=0)
         column = price(duals, sizes, capacity)
-        if duals @ column <= 1 + 1e-9:
+        # no pattern can bring the number of bins below its (1 + GAP)-th part, or none below what the items fill
+        if duals @ column <= 1 + GAP or use.sum() <= (1 + GAP) * (need @ sizes) / capacity:
             break
-        step = inverse @ column
-        ratios = np.where(step > 1e-9, use / np.where(step > 1e-9, step, 1), np.inf)
-        basis[:, int(ratios.argmin())] = column
+        way = inverse @ column
+        ratios = np.where(way > 1e-9, np.maximum(use, 0) / np.where(way > 1e-9, way, 1), np.inf)
+        out = int(ratios.argmin())
+        basis[:, out] = column
+        row = inverse[out] / way[out]
+        inverse -= np.outer(way, row)
+        inverse[out] = row
+        step += 1
     left, out = need.copy(), []
     for k in np.argsort(-use):
         pattern = np.rint(basis[:, k]).astype(np.int64)
@@ -223,7 +233,7 @@ def _table(spark, plan: list[tuple[int, dict[int, int]]], base: int) -> DataFram
 def _binned(items: DataFrame, table: DataFrame, bin_name: str, place: str) -> DataFrame:
     """Adds the bin of items(size, rank) and their place in it."""
     match = (F.col("size") == F.col("p_size")) & (F.col("rank") >= F.col("p_lo")) & (F.col("rank") < F.col("p_hi"))
-    joined = items.join(F.broadcast(table), match)  # a few hundred rows, times ROUNDS at most: 63 sizes, a pattern for each
+    joined = items.join(F.broadcast(table), match)  # some thousand rows, times ROUNDS at most: a pattern for each size
     copy = F.floor((F.col("rank") - F.col("p_lo")) / F.col("p_items"))
     within = (F.col("rank") - F.col("p_lo")) % F.col("p_items")
     return joined.withColumn(bin_name, F.col("p_base") + copy).withColumn(place, F.col("p_at") + within * F.col("p_size")).select(*items.columns, bin_name, place)
@@ -261,29 +271,21 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
         cut = cut.withColumn("bucket", F.floor(F.col("order") * BUCKETS / F.lit(most + 1)))
     else:
         cut = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)))
-    counts = materialise(cut.groupBy("length", "bucket").agg(F.count("*").alias("n")), "counts")
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select("length", "bucket", F.coalesce(before, F.lit(0)).alias("before"))
-    demand = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most 2 * UNIT rows
-
-    deal = _dealt if order else list
-    tails = deal(cutting_stock({s: n for s, n in demand.items() if s < UNIT}, UNIT))
-    units = {s // UNIT: n for s, n in demand.items() if s >= UNIT and s < LENGTH}
-    first_block = units.get(1, 0)
-    blocks = sum(n for n, _ in tails)
-    units[1] = first_block + blocks
-    whole = demand.get(LENGTH, 0)
-
-    row = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("order", "doc_id", "start")) - 1
-    ranked = cut.withColumn("row", row).join(offsets, ["length", "bucket"]).withColumn("rank", F.col("row") + F.col("before")).drop("row", "before", "bucket")
-    large = ranked.where(F.col("length") == LENGTH).withColumn("sequence_id", F.col("rank")).withColumn("place", F.lit(0)).withColumn("inner", F.lit(0)).drop("rank")
-    small = ranked.where(F.col("length") < UNIT).withColumn("size", F.col("length"))
-    small = _binned(small, _table(spark, tails, first_block), "block", "inner").drop("size").withColumn("rank", F.col("block")).withColumn("size", F.lit(1)).drop("block")
-    middle = ranked.where((F.col("length") >= UNIT) & (F.col("length") < LENGTH)).withColumn("inner", F.lit(0)).withColumn("size", F.floor(F.col("length") / UNIT))
-    items = _binned(small.unionByName(middle), _table(spark, deal(cutting_stock(units, LENGTH // UNIT)), whole), "sequence_id", "place").drop("rank", "size")
-    placed = large.unionByName(items)
+    cut = cut.withColumn("size", F.ceil(F.col("length") / UNIT))
+    counts = materialise(cut.groupBy("size", "bucket").agg(F.count("*").alias("n")), "counts")
+    before = F.sum("n").over(Window.partitionBy("size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("size", "bucket", F.coalesce(before, F.lit(0)).alias("before"))
+    demand = {r["size"]: r["n"] for r in counts.groupBy("size").agg(F.sum("n").alias("n")).collect()}  # LENGTH / UNIT rows at most
+    whole = demand.pop(LENGTH // UNIT, 0)
+    plan = cutting_stock(demand, LENGTH // UNIT)
+
+    row = F.row_number().over(Window.partitionBy("size", "bucket").orderBy("order", "doc_id", "start")) - 1
+    ranked = cut.withColumn("row", row).join(offsets, ["size", "bucket"]).withColumn("rank", F.col("row") + F.col("before")).drop("row", "before", "bucket")
+    large = ranked.where(F.col("size") == LENGTH // UNIT).withColumn("sequence_id", F.col("rank")).withColumn("place", F.lit(0).cast("long"))
+    items = _binned(ranked.where(F.col("size") < LENGTH // UNIT), _table(spark, _dealt(plan) if order else plan, whole), "sequence_id", "place")
+    placed = large.unionByName(items).drop("rank", "size")
     if order:
         placed = _in_order(materialise(placed, "placed"))
-    earlier = Window.partitionBy("sequence_id").orderBy("place", "inner", "doc_id", "start").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("sequence_id").orderBy("place", "doc_id", "start").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum("length").over(earlier), F.lit(0)).cast("long")
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", F.col("sequence_id").cast("long").alias("sequence_id"), offset.alias("offset"))
