@@ -21,8 +21,8 @@ Anchors that occur more than HOT times are dealt out finer: strings whose anchor
 within eight successive places share all but seven bytes, and that shared core names
 their group.
 
-Texts are shuffled once, into a table bucketed by id that the later passes join without
-shuffling it again.
+Texts are shuffled once, into a table in the shared folder, bucketed by id, that the later
+passes join without shuffling it again; it is dropped at the end, also when a step fails.
 
 Edge cases: null counts as empty; texts under LENGTH bytes lose nothing. Rows with a null
 id lose nothing and repeat nothing. Repeated rows (one id, one text) are one document,
@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from . import arrays
 from .arrays import U, mix
-from .shared import discard, materialise
+from .shared import discard, materialise, remove, shared_dir
 
 #: Bytes of a repeat; bytes of an anchor; group size from which groups are split; bytes sorted at a time.
 LENGTH, GRAM, HOT, CHUNK = 100, 32, 5000, 1 << 20
@@ -300,20 +300,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sums)], names=["doc_id", "n_removed", "n_spans", "kept"])
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256 for every row."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    summed = rows.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), F.octet_length("text").cast("long").alias("n_bytes"))
-    summed = materialise(summed, "sums")
-    firsts = summed.where("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("first"))
-    table = f"plumbline_texts_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    long_enough = summed.where(F.col("n_bytes") >= LENGTH).join(firsts, "sha").where(F.col("doc_id") == F.col("first")).select("doc_id").distinct()
-    kept = rows.join(long_enough, "doc_id").dropDuplicates(["doc_id"])
-    kept.repartition(buckets, "doc_id").write.bucketBy(buckets, "doc_id").saveAsTable(table)
-    texts = spark.table(table)
-
+def _repeats_cut(texts: DataFrame) -> DataFrame:
+    """doc_id, n_removed, n_spans and the digest of what stays, for the texts that lose anything."""
     grams = materialise(texts.select("doc_id", "text").mapInArrow(_anchored, "gram long, doc_id long, place int"), "grams")
     again = materialise(repeated(grams), "anchors")
     discard(grams)
@@ -326,7 +314,28 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     per_doc = marks.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
     cut = texts.join(per_doc, "doc_id").select("doc_id", "text", "starts", "stops").mapInArrow(_cut, "doc_id long, n_removed long, n_spans long, kept string")
     cut = materialise(cut, "cut")
-    spark.sql(f"DROP TABLE {table}")
+    discard(again, stretches, marks)
+    return cut
+
+
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256 for every row."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    summed = rows.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), F.octet_length("text").cast("long").alias("n_bytes"))
+    summed = materialise(summed, "sums")
+    firsts = summed.where("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("first"))
+    table = f"plumbline_texts_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    long_enough = summed.where(F.col("n_bytes") >= LENGTH).join(firsts, "sha").where(F.col("doc_id") == F.col("first")).select("doc_id").distinct()
+    kept = rows.join(long_enough, "doc_id").dropDuplicates(["doc_id"])
+    kept = kept.repartition(buckets, "doc_id").write.bucketBy(buckets, "doc_id").option("path", f"{shared_dir(spark)}/plumbline/{table}")
+    try:
+        kept.saveAsTable(table)
+        cut = _repeats_cut(spark.table(table))
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        remove(spark, f"{shared_dir(spark)}/plumbline/{table}")
 
     out = summed.join(firsts, "sha", "left").join(cut, "doc_id", "left")
     copy = F.col("first").isNotNull() & (F.col("doc_id") != F.col("first")) & (F.col("n_bytes") >= LENGTH)
