@@ -5,8 +5,9 @@ per set; sets that drew the same token meet in a bucket named by it. A bucket of
 SMALL sets is compared outright. A larger one splits again on freshly sampled tokens;
 one whose children hardly shrink is dense, as its sets all resemble each other, and is
 compared in blocks. Two sets at the threshold share BRANCH children in expectation at
-every level, so RUNS runs find a pair with probability above 1 - exp(-RUNS * BRANCH)
-at the first level (1e-7) and 1 - 0.21 ** RUNS (4e-6) through any number of splits.
+every level. One run misses such a pair with probability exp(-BRANCH) at the first level
+and at most MISS through any number of splits, so :func:`runs_for` gives the number of
+runs that a target recall needs: 8 for the default of all but four pairs in a million.
 
 Equal sets are joined first, by digest, and one of them stands for all. A pair that meets
 in several buckets is compared only in the one with the smallest name, so links can be
@@ -14,6 +15,11 @@ summed without listing pairs: each bucket sends one row per set, with the rows i
 stand for and the smallest id it reached. Whole token sets travel only to buckets in
 which they have a pair to compare. Comparison is exact.
 
+Memory of a task: a bucket is compared in pairs of blocks of at most BLOCK sets and about
+TOKENS tokens (one set at least), and overlaps are summed over ranges of the token hashes, so
+a task holds a pair of blocks and the tables of one range. Buckets above HOT members get
+their size by a broadcast, so their members are never brought to one task.
+
 Edge cases: words are the lower-case runs without ASCII white space; a text of one to four
 words has one shingle, all its words. A null or empty text, or a null id, has no links and
 is its own class. Repeated rows link to each other like copies. Ids are unique but for
@@ -23,6 +29,7 @@ repeated rows. Columns besides id and text are ignored. Texts are read whole.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +43,20 @@ from .arrays import U, mix
 from .components import components
 from .shared import discard, materialise
 
-#: Words a shingle; similarity as a fraction; runs; common children at each level; sets compared outright; levels; block.
-WORDS, THRESHOLD, RUNS, BRANCH, SMALL, LEVELS, BLOCK = 5, (4, 5), 8, 2.0, 200, 4, 512
+#: Words a shingle; similarity as a fraction; common children at each level; sets compared outright; levels; sets and tokens of a block.
+WORDS, THRESHOLD, BRANCH, SMALL, LEVELS, BLOCK, TOKENS = 5, (4, 5), 2.0, 200, 4, 512, 2 << 20
+#: Chance that one run misses a pair at the threshold: the least root of x = exp(-BRANCH * (1 - x)), rounded up; target recall.
+MISS, RECALL = 0.21, 1 - 4e-6
+#: Members from which a bucket counts as hot; tokens whose overlaps are summed at a time.
+HOT, RANGE = 5000, 1 << 19
+
+
+def runs_for(recall: float) -> int:
+    """Runs after which a pair at the threshold is found with probability `recall` or more."""
+    return max(1, math.ceil(math.log(1 - recall) / math.log(MISS)))
+
+
+RUNS = runs_for(RECALL)
 
 
 def _seed(*parts: int) -> np.uint64:
@@ -92,7 +111,7 @@ def _children(level: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            reps, parents, sizes, found = [], [], [], []
+            reps, parents, sizes, widths, found = [], [], [], [], []
             for rep, buckets, raw in zip(batch.column("rep").to_pylist(), batch.column("buckets").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
                 tokens = np.frombuffer(raw, U)
                 bound = _rate(np.array([len(tokens)]))[0]
@@ -104,8 +123,11 @@ def _children(level: int):
                     reps.append(np.full(len(drawn), rep, np.int64))
                     parents.append(np.full(len(drawn), key, np.int64))
                     sizes.append(np.full(len(drawn), size, np.int64))
+                    widths.append(np.full(len(drawn), len(tokens), np.int32))
             if reps:
-                yield pa.RecordBatch.from_pydict({"rep": np.concatenate(reps), "parent": np.concatenate(parents), "parent_size": np.concatenate(sizes), "key": np.concatenate(found)})
+                yield pa.RecordBatch.from_pydict({
+                    "rep": np.concatenate(reps), "n": np.concatenate(widths), "parent": np.concatenate(parents), "parent_size": np.concatenate(sizes), "key": np.concatenate(found),
+                })
 
     return run
 
@@ -152,7 +174,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if group.num_rows < 2:
             continue
         pairs, n, reps, _ = _wanted(group)
-        sets = [np.frombuffer(x, U) for x in group.column("tokens").to_pylist()]
+        sets = _views(group.column("tokens"))
         a, b = np.nonzero(pairs)
         if len(sets) <= 6 or len(a) < 2 * len(sets):
             common = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(a, b, strict=True)], np.int64)
@@ -176,7 +198,28 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"rep": reps[at], "links": links[at].astype(np.int64), "root": root[at]})
 
 
+def _views(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """Each row's tokens, without copying them."""
+    out = []
+    for chunk in column.chunks:
+        _, offsets, data = chunk.buffers()
+        at = np.frombuffer(offsets, np.int32)[chunk.offset : chunk.offset + len(chunk) + 1].tolist()
+        out += [np.frombuffer(data, U, (b - a) // 8, a) for a, b in zip(at[:-1], at[1:], strict=True)]
+    return out
+
+
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of ascending sets, summed over ranges of the hashes with about RANGE tokens each."""
+    out = np.zeros((len(sets), len(sets)), np.int64)
+    ranges = sum(map(len, sets)) // RANGE + 1
+    bounds = np.array([k * 2**64 // ranges for k in range(1, ranges)], U)
+    cuts = [[0, *np.searchsorted(x, bounds).tolist(), len(x)] for x in sets]
+    for k in range(ranges):
+        out += _common([x[c[k] : c[k + 1]] for x, c in zip(sets, cuts, strict=True)])
+    return out
+
+
+def _common(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections, from the tokens that two sets or more have."""
     flat = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
@@ -197,9 +240,14 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _counted(members: DataFrame, by: str = "key") -> DataFrame:
-    """Members of buckets with two sets or more, each with its bucket's size."""
-    sizes = members.groupBy(by).agg(F.count("*").alias("size")).where("size > 1")
-    return members.join(sizes, by)
+    """Members of buckets with two sets or more, each with its bucket's size and number of tokens.
+
+    Buckets are measured with partial sums; hot ones (a HOT-th of the members at most) reach their members by a broadcast.
+    """
+    sizes = materialise(members.groupBy(by).agg(F.count("*").alias("size"), F.sum("n").alias("tokens")).where("size > 1"), "sizes")
+    hot = F.broadcast(sizes.where(F.col("size") > HOT))
+    others = members.join(hot.select(by), by, "left_anti").join(sizes.where(F.col("size") <= HOT), by)
+    return members.join(hot, by).unionByName(others)
 
 
 def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -210,33 +258,34 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     some = signed.where("n > 0 and doc_id is not null")
     reps = some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     reps = materialise(reps, "representatives")
-    members = materialise(_counted(reps.select("rep", F.explode("keys").alias("key"))), "members")
+    members = materialise(_counted(reps.select("rep", "n", F.explode("keys").alias("key"))), "members")
     alive = members.select("rep").distinct()
     kept = reps.select("rep", "copies", "n").join(alive, "rep", "left_semi")
     texts = rows.withColumnRenamed("doc_id", "rep").join(kept, "rep").dropDuplicates(["rep"])
     sets = materialise(texts.select("rep", "n", "copies", "text").mapInArrow(_sets, "rep long, n int, copies long, tokens binary"), "sets")
 
-    leaves = members.where(F.col("size") <= SMALL).select("key", "rep", "size")
-    large = members.where(F.col("size") > SMALL).select("key", "rep", "size")
+    leaves = members.where(F.col("size") <= SMALL).select("key", "rep", "size", F.col("tokens").alias("total"))
+    large = members.where(F.col("size") > SMALL).select("key", "rep", "size", F.col("tokens").alias("total"))
     for level in range(LEVELS):
         if large.isEmpty():
             break
         if level == LEVELS - 1:
             leaves = leaves.union(large)
             break
-        asked = large.groupBy("rep").agg(F.collect_list(F.struct("key", "size")).alias("buckets")).join(sets.select("rep", "tokens"), "rep")
-        drawn = asked.mapInArrow(_children(level), "rep long, parent long, parent_size long, key long")
-        drawn = materialise(_counted(drawn), "children")
-        dense = drawn.groupBy(F.col("parent").alias("key")).agg((F.max("size") * 2 >= F.first("parent_size")).alias("dense")).where("dense").select("key")
+        asked = large.groupBy("rep").agg(F.collect_list(F.struct("key", "size")).alias("buckets")).join(sets.select("rep", "n", "tokens"), "rep")
+        drawn = materialise(asked.mapInArrow(_children(level), "rep long, n int, parent long, parent_size long, key long"), "drawn")
+        counted = materialise(_counted(drawn), "children")
+        dense = counted.groupBy(F.col("parent").alias("key")).agg((F.max("size") * 2 >= F.first("parent_size")).alias("dense")).where("dense").select("key")
         stays = large.join(dense, "key", "left_semi")
-        split = drawn.join(dense.withColumnRenamed("key", "parent"), "parent", "left_anti").select("key", "rep", "size")
+        split = counted.join(dense.withColumnRenamed("key", "parent"), "parent", "left_anti").select("key", "rep", "size", F.col("tokens").alias("total"))
         leaves = leaves.union(stays).union(split.where(F.col("size") <= SMALL))
         large = materialise(split.where(F.col("size") > SMALL), "large")
+        discard(drawn)
     leaves = materialise(leaves, "leaves")
 
     names = leaves.groupBy("rep").agg(F.collect_list("key").alias("names")).join(sets.select("rep", "n"), "rep")
-    blocks = F.ceil(F.col("size") / F.lit(2 * BLOCK)).cast("int")
-    placed = leaves.join(names, "rep").withColumn("blocks", F.when(F.col("size") > SMALL, F.greatest(blocks, F.lit(1)) * 2).otherwise(1))
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("total") / TOKENS)).cast("int")
+    placed = leaves.join(names, "rep").withColumn("blocks", F.when((F.col("size") > SMALL) | (F.col("total") > 2 * TOKENS), F.greatest(blocks, F.lit(2))).otherwise(1))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))

@@ -1,6 +1,7 @@
 """Language, quality, packing, fingerprints and suffixes against brute force."""
 
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -66,6 +67,34 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(got, want)
 
 
+def test_long_words_and_small_probabilities_keep_their_sums():
+    rng = np.random.default_rng(1)
+    pieces = ["▁", "▁a", "a", "ab", "b", "ba", "c", "abc", "▁ab"]
+    lattice = language_id.Lattice(pieces)
+    prior = rng.random(len(pieces) + 2)
+    prior[-1] = 0
+    word = "▁" + "".join(rng.choice(list("abcx"), 30))
+    counts = np.zeros(len(prior))
+    lattice._long_expected(word, 2.0, prior / prior.sum(), counts)
+    assert np.allclose(counts, lattice.expected([word], np.array([2.0]), prior / prior.sum()))
+    model = 1e-14 * rng.random((len(pieces) + 2, 2))
+    model[-1] = 0
+    small = lattice.score([word], model)
+    assert np.allclose(small, lattice._long(word, model)) and (small < -700).all()
+    whole = np.zeros(len(prior))  # a text without spaces is one word: its letters are all counted
+    lattice._long_expected("▁" + "".join(rng.choice(list("abcx"), 5000)), 1.0, prior / prior.sum(), whole)
+    assert whole @ np.array([*map(len, pieces), 1, 0]) == pytest.approx(5001)
+
+
+def test_a_text_in_another_language_than_its_own_goes(spark):
+    docs = spark.createDataFrame([(1, "the house and the garden of the old man", "en", "x"), (2, "das haus und der garten von dem alten mann", "de", "x"), (3, "das haus und der garten", "en", "x"), (4, "the garden of the house", None, "x")], "doc_id long, text string, lang string, keep string")
+    pieces = language_id.load_pieces(vocabulary("piece_bpe_32k.model"))
+    many = docs.where("doc_id < 3").unionByName(docs.where("doc_id < 3"))
+    languages, model = language_id.learn(many, pieces)
+    got = {(r.doc_id, r.lang, r.keep) for r in language_id.accept(docs, languages, model, pieces, sure=0.9).collect()}
+    assert got == {(1, "en", "x"), (2, "de", "x"), (4, "en", "x")}
+
+
 def test_held_out_languages_are_found(spark):
     got = op8_language_id(spark, DATA).join(spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out")
     row = got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")).alias("a"), F.count("*").alias("n")).first()
@@ -101,6 +130,15 @@ def test_marginals_match_enumeration():
                 if k:
                     pairs[y[k - 1], y[k]] += w / z
     assert np.allclose(got, want) and np.allclose(pair, pairs)
+    weight = np.array([5.0, 2.0, 3.0])
+    one, two = (quality.marginals(emit[a:b], np.array([0, b - a]), trans)[1] for a, b in ((1, 4), (4, 6)))
+    assert np.allclose(quality.marginals(emit, first, trans, weight)[1], 2 * one + 3 * two)
+
+
+def test_letters_beyond_ascii_have_cases():
+    for text in ("ÉÀÜ éàü", "ЖИЗНЬ жизнь", "ΑΒΓ αβγ", "abc, 1"):
+        kinds = quality.kinds(np.frombuffer(text.encode(), np.uint8))
+        assert (kinds == quality._UPPER).sum() == sum(c.isupper() for c in text) and (kinds == quality._LOWER).sum() == sum(c.islower() for c in text)
 
 
 def test_held_out_quality_is_found(spark):
@@ -155,6 +193,10 @@ def test_packing_is_an_exact_partition(spark):
     sequences = rows.sort_values(["sequence_id", "offset"]).groupby("sequence_id")
     assert (rows.sort_values(["sequence_id", "offset"]).offset == sequences.length.cumsum() - rows.sort_values(["sequence_id", "offset"]).length).all()
     assert sequences.length.sum().max() <= 4096 and len(sequences) <= total / 4096 * 1.02 + 30
+    assert (rows.length == rows.doc_tokens.clip(upper=4096)).groupby(rows.doc_id).any().all()  # only longer documents are cut
+    odd = packing.pack(spark.createDataFrame(ODD, EDGES), tokenizer).toPandas()
+    assert odd.length.sum() == odd[odd.start == 0].doc_tokens.sum() and (odd.start == 0).sum() == len(ODD)
+    assert packing.pack(docs.limit(0), tokenizer).count() == 0
 
 
 def test_sketches_recover_differences():
@@ -170,22 +212,39 @@ def test_sketches_recover_differences():
     assert np.allclose(got, want)
 
 
-def test_neighbours_across_groups(spark, monkeypatch):
-    monkeypatch.setattr(fingerprint, "GROUP", 3)
-    monkeypatch.setattr(fingerprint, "BAND", 2)
-    ids = [-5, 0, 1, 2, 7, 30, 31, 100, 2000, 2001]
-    texts = {i: f"Line {i}.\nshared line\n" + "word " * (i % 7) for i in ids}
+def brute_likeness(a, b):
+    x, y = ({p.strip() for line in t.split("\n") for p in re.split(r"(?<=[.!?]) ", line)} - {""} for t in (a, b))
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+@pytest.mark.parametrize("group", [1, 3, 1000])
+def test_neighbours_and_likeness_match_brute_force(spark, monkeypatch, group):
+    monkeypatch.setattr(fingerprint, "GROUP", group)
+    ids = [-5, 0, 1, 2, 7, 30, 31, 100, 2000, 2001, 2**40]  # an outlier widens no range
+    texts = {i: f"Line {i}. And more! \nshared line\n" + "word " * (i % 7) for i in ids} | {7: None, 30: "", 31: ""}
     docs = spark.createDataFrame([(i, texts[i], "x") for i in ids], "doc_id long, text string, part string")
     got = {r.doc_id: r for r in fingerprint.compare(docs).collect()}
     order = sorted(ids, reverse=True)
+    prints = {}
     for k, i in enumerate(order):
-        t, n = texts[i], texts[order[(k + 1) % len(order)]]
+        t, n = texts[i] or "", texts[order[(k + 1) % len(order)]] or ""
         edited = t[: len(t) - len(t) // 3] + n[: len(t) // 3]
         assert (got[i].n_chars, got[i].edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert got[i].near_edited == pytest.approx(brute_likeness(t, edited)) and got[i].near_next == pytest.approx(brute_likeness(t, n))
+        prints.setdefault(t, set()).add(got[i].fingerprint)
+        prints.setdefault(edited, set()).add(got[i].edited_fingerprint)
+    assert all(len(x) == 1 for x in prints.values())
     odd = fingerprint.compare(spark.createDataFrame(ODD, EDGES)).collect()
     assert len(odd) == len(ODD) and fingerprint.compare(docs.limit(0)).count() == 0
 
 
+def test_rows_of_one_id_follow_each_other_by_text(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "GROUP", 1)
+    docs = spark.createDataFrame([(1, "bbb"), (1, "aaa"), (2, "ccc"), (0, "ddd")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.edited_sha256) for r in fingerprint.compare(docs).collect())
+    assert got == sorted((i, hashlib.sha256(t.encode()).hexdigest()) for i, t in [(2, "cca"), (1, "aab"), (1, "bbd"), (0, "ddc")])
+
+
 def test_suffix_ranks_match_sorting():
     rng = np.random.default_rng(1)
     for n in (1, 2, 3, 4, 5, 7, 30, 31, 200):
