@@ -26,7 +26,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -288,10 +287,10 @@ def identify(docs: DataFrame, languages: list[str], model: np.ndarray, pieces: l
 def accept(
     docs: DataFrame, languages: list[str], model: np.ndarray, pieces: list[str], least: float = 0.5, sure: float = 0.999, text: str = "text", lang: str = "lang"
 ) -> DataFrame:
-    """docs without the rows whose language cannot be told (`und`, or a posterior under `least`) or is surely another.
+    """docs without the rows whose language cannot be told (`und`, or a posterior under `least`).
 
-    A row goes as well if its own language is one of the learned ones and the text has another with a posterior of `sure`
-    or more. A null language gets the prediction.
+    Rows that stay get the predicted language where they have none, or a learned one while the text has another with a
+    posterior of `sure` or more: most of such a text is in the other language, which makes it no worse.
     """
     shared = docs.sparkSession.sparkContext.broadcast((pieces, languages, model))
     at_text, at_lang = docs.columns.index(text), docs.columns.index(lang)
@@ -304,8 +303,8 @@ def accept(
                 names, post = predictor.texts(batch.column(at_text).to_pylist())
                 own = batch.column(at_lang)
                 good = np.array([n != "und" for n in names]) & (post >= least)
-                good &= ~np.array([o in languages and o != n and p >= sure for o, n, p in zip(own.to_pylist(), names, post, strict=True)])
-                columns = [pc.coalesce(own, pa.array(names, own.type)) if k == at_lang else c for k, c in enumerate(batch.columns)]
+                told = pa.array([n if o is None or (o in languages and p >= sure) else o for o, n, p in zip(own.to_pylist(), names, post, strict=True)], own.type)
+                columns = [told if k == at_lang else c for k, c in enumerate(batch.columns)]
                 yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(good))
             pa.default_memory_pool().release_unused()
 
