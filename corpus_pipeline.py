@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a table; all but the last ret
 columns of documents. A stage's result is written and read again before the next.
 
 1. language_id: the piece models learn from the rows' own languages; texts whose language
-   cannot be told go, and so do those surely in another language than their row says.
+   cannot be told go, and those surely in another language than their row says get that one.
 2. near_duplicates: of every group linked by a similarity of 0.8 or more (five-word shingles)
    the document with the smallest id stays.
 3. pii: personal data and credentials are replaced by surrogates.
