@@ -52,8 +52,27 @@ ROLES = (
     "borrower", "lender", "company", "government", "authority", "agency", "department", "officer", "processor", "controller", "bank", "insurer",
     "guarantor", "trustee", "principal", "distributor", "manufacturer", "owner", "operator", "assignee", "sponsor", "importer", "exporter",
     "executive", "subprocessor", "transferor", "transferee", "franchisor", "franchisee", "indemnitor", "indemnitee", "obligor", "obligee",
-    "mortgagor", "mortgagee", "shipper", "carrier", "consignee", "clients", "customers", "suppliers", "employees", "vendors",
+    "mortgagor", "mortgagee", "shipper", "carrier", "consignee",
 )
+#: Roles that count as another one.
+ROLE_ALIASES = {"parties": "party", "client": "customer", "vendor": "supplier", "purchaser": "buyer"}
+#: Nouns that name documents and their contents, no organisation.
+DOCUMENT_NOUNS = (
+    "agreement", "contract", "lease", "clause", "section", "article", "exhibit", "schedule", "annex", "appendix", "addendum", "amendment",
+    "release", "notice", "term", "terms", "rent", "fee", "fees", "payment", "payments", "price", "invoice", "premises", "property", "goods",
+    "service", "services", "software", "system", "platform", "information", "data", "work", "works", "policy", "plan", "report", "record",
+    "records", "document", "documents", "provision", "provisions", "obligation", "obligations", "right", "rights", "claim", "claims", "damages",
+    "insurance", "coverage", "interest", "penalty", "default", "breach", "date", "period", "time", "times", "order", "credit", "credits",
+    "specification", "specifications", "warranty", "warranties", "confidentiality", "employment", "termination", "board", "committee", "law",
+    "laws", "court", "failure", "continuance", "compliance", "transfer", "processing", "purpose", "purposes", "business", "subject", "subjects",
+    "instructions", "media", "access", "support", "delay",
+)
+#: Verbs whose subject acts, as a pattern, and the most words of a name.
+SUBJECT_VERBS = (
+    "shall|must|may|will|agrees?|undertakes|reserves|warrants|represents|acknowledges|covenants|indemnifies|grants|consents|elects|"
+    r"(?:is|are)\s+(?:entitled|responsible|required|obliged|obligated|liable|permitted|prohibited|authorized|authorised|free)"
+)
+NAME_WORDS = 4
 REPORTING = (
     "wrote", "writes", "stated", "states", "said", "says", "confirmed", "confirms", "advised", "advises", "emailed", "informed", "informs",
     "told", "replied", "noted", "commented", "announced", "alleged", "claimed",

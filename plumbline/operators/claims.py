@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import values as X
 from ..functions import vocabulary as V
-from .context import carried, host_and_carve_out
+from . import parties
+from .context import carried, host_and_carve_out, units
 
 
 def restates_negated_part(claim: Column, context: Column, window: int = 4) -> Column:
@@ -27,7 +28,7 @@ def restates_negated_part(claim: Column, context: Column, window: int = 4) -> Co
 
 
 def issues(claim: Column, context: Column, host: Column | None = None, carve_out: Column | None = None) -> Column:
-    """The issues of a claim in the order of the decision table; party roles are not judged here.
+    """The issues of a claim in the order of the decision table.
 
     host and carve_out are the context's clause and the sentences that cut it down, if it was split.
     """
@@ -38,6 +39,11 @@ def issues(claim: Column, context: Column, host: Column | None = None, carve_out
     values = X.compare(X.numbers(source), X.dates(source), X.numbers(context), X.dates(context))["result"] != "match"
     own_negative, negative = T.is_negative(claim), T.is_negative(host)
     own_mode, mode = T.modality(claim), T.modality(context)
+    # a reversal puts each name before a verb on one side only, so the names of both are looked for in both
+    names = F.array_union(parties.named(claim), parties.named(context))
+    own_parties = parties.parties(claim, names)
+    present = parties.covered(own_parties, parties.parties(context, names))
+    reversed_ = ~parties.same(parties.acting(claim, names), parties.acting(context, names))
 
     def dropped(phrases) -> Column:
         return T.has_any(context, phrases) & ~T.has_any(claim, phrases)
@@ -55,6 +61,8 @@ def issues(claim: Column, context: Column, host: Column | None = None, carve_out
         ("negation_added", own_negative & ~negative & ~T.is_negative(context)),
         ("modality_unsupported", (own_mode != "none") & (mode == "none")),
         ("modality_changed", (own_mode != "none") & (mode != "none") & (own_mode != mode)),
+        ("actor_not_in_evidence", ~present),
+        ("actor_role_reversed", present & reversed_),
         ("condition_dropped", T.is_conditional(context) & ~T.is_conditional(claim)),
         ("certainty_unsupported", added(V.CERTAINTY)),
         ("scope_broadened", dropped(V.RESTRICTIVE) | added(V.UNIVERSAL)),
@@ -76,6 +84,13 @@ def check(rows: DataFrame) -> DataFrame:
     return found.withColumn("status", F.when(F.size("issues") == 0, "supported").when(against, "contradicted").otherwise("unsupported"))
 
 
+def matching_sentence(claim: Column, context: Column) -> Column:
+    """The unit of the context (a sentence with its carve-outs) that has most of the claim's content words, the first of equals; the context itself if none has any."""
+    found = units(T.sentences(context))
+    best = F.array_min(F.transform(found, lambda u, k: F.struct((-T.overlap(claim, u)).alias("far"), k.alias("k"), u.alias("unit"))))
+    return F.when((F.size(found) > 1) & (best["far"] < 0), best["unit"]).otherwise(context)
+
+
 def best_verdict(checked: DataFrame, *keys: str) -> DataFrame:
     """For each key the first supported verdict, else the first unsupported, else the first, by context_pos."""
     order = F.when(F.col("status") == "supported", 0).when(F.col("status") == "unsupported", 1).otherwise(2)
@@ -83,6 +98,13 @@ def best_verdict(checked: DataFrame, *keys: str) -> DataFrame:
     return checked.groupBy(*keys).agg(best.alias("x")).select(*keys, "x.status", "x.issues", "x.context_pos")
 
 
+def best_context(rows: DataFrame, *keys: str, place: str = "context_pos") -> DataFrame:
+    """For each key of rows(claim, context, place) the largest overlap of claim and context, and where it is; the first of equals."""
+    scored = rows.withColumn("__o", T.overlap(F.col("claim"), F.col("context")))
+    return scored.groupBy(*keys).agg(F.max("__o").alias("best"), F.min_by(place, F.struct(-F.col("__o"), place)).alias(place))
+
+
+#: Fixed value: how a term and what it means are written.
 DEFINITION = (
     r"(?i)(?:\"([^\"\n]{2,60})\"|'([^'\n]{2,60})')\s*(?:\([^)]{0,40}\)\s*)?"
     r"(?:means|shall mean|has the meaning|have the meaning|is defined as|are defined as)\b([^.;\n]{0,300})"

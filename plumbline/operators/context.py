@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vocabulary as V
 
-#: First words and phrases by which a sentence points back, and how many carve-outs a context takes in.
+#: First words and phrases by which a sentence points back, and how many carve-outs a context takes in.
 OPENERS = ("this", "that", "these", "those", "such", "however", "notwithstanding", "provided", "except", "but", "nothing", "no", "neither", "subject")
 OPENING_PHRASES = ("the foregoing", "the above", "in no event")
 FOLLOWING = 2
@@ -67,12 +67,12 @@ def with_context(rows: DataFrame) -> DataFrame:
     first = F.size(F.filter("__ends", lambda e: e < F.col("__at"))) + 1
     last = F.size(F.filter("__ends", lambda e: e < F.col("__at") + F.length("window") - 1)) + 1
     staged = staged.withColumn("__a", first).withColumn("__b", F.least(last, F.size("__s")))
-    one = F.try_element_at("__s", F.col("__b") + 1)
-    two = F.try_element_at("__s", F.col("__b") + 2)
-    staged = staged.withColumn("__q1", F.coalesce(qualifies(one, F.try_element_at("__s", F.col("__b"))), F.lit(False)) & one.isNotNull())
+    one = F.get("__s", F.col("__b"))  # __b counts from 1, and is 0 on a page without sentences
+    two = F.get("__s", F.col("__b") + 1)
+    staged = staged.withColumn("__q1", F.coalesce(qualifies(one, F.get("__s", F.col("__b") - 1)), F.lit(False)) & one.isNotNull())
     staged = staged.withColumn("__q2", F.col("__q1") & F.coalesce(qualifies(two, one), F.lit(False)) & two.isNotNull())
     more = F.col("__q1").cast("int") + F.col("__q2").cast("int")
-    found = F.array_join(F.slice("__s", F.col("__a"), F.greatest(F.col("__b") - F.col("__a") + 1 + more, F.lit(0))), " ")
+    found = F.array_join(F.slice("__s", F.greatest("__a", F.lit(1)), F.greatest(F.col("__b") - F.col("__a") + 1 + more, F.lit(0))), " ")
     known = (F.length("window") > 0) & (F.col("__at") > 0)
     out = staged.withColumn("context", F.when(known, found).otherwise(F.coalesce("window", F.lit(""))))
     return out.drop("__p", "__s", "__at", "__ends", "__a", "__b", "__q1", "__q2")

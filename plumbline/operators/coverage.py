@@ -30,10 +30,10 @@ def _numbers(condition: Column) -> Column:
     return F.array_sort(F.collect_list(F.when(condition, F.col("page_number"))))
 
 
-def manifest(pages: DataFrame) -> DataFrame:
-    """One row a document: page numbers by status, missing ones, and the length of all text."""
+def manifest(pages: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """One row a document: page numbers by status, missing ones, and the length of all text; documents without pages have one too if a list is given."""
     status = F.col("status")
-    return pages.groupBy("document_id").agg(
+    found = pages.groupBy("document_id").agg(
         F.count("*").cast("int").alias("total_pages"),
         _numbers(status.isin("processed", "empty")).alias("processed"),
         _numbers(status == "failed").alias("failed"),
@@ -42,6 +42,11 @@ def manifest(pages: DataFrame) -> DataFrame:
         _numbers(F.col("failure_reason") == "page_missing").alias("missing"),
         F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("total_text_length"),
     )
+    if documents is None:
+        return found
+    empty = {"total_pages": F.lit(0), "total_text_length": F.lit(0).cast("long")}
+    rest = [F.coalesce(c, empty.get(c, F.array().cast("array<int>"))).alias(c) for c in found.columns if c != "document_id"]
+    return documents.select("document_id").join(found, "document_id", "left").select("document_id", *rest)
 
 
 def coverage(manifests: DataFrame, repaired: Column | None = None) -> DataFrame:

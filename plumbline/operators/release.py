@@ -38,14 +38,13 @@ def withheld(findings: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def overview(findings: DataFrame) -> DataFrame:
-    """Topics in fixed order with their findings; the eight named ones always, `other` only if it has any."""
-    spark = findings.sparkSession
-    order = [*V.TOPICS, "other"]
-    topics = spark.createDataFrame([(k, t) for k, t in enumerate(order)], "place int, topic string")
-    grouped = findings.withColumn("topic", T.topic(F.col("label"))).groupBy("topic").agg(F.sort_array(F.collect_list("finding_id")).alias("findings"))
-    rows = topics.join(grouped, "topic", "left").withColumn("findings", F.coalesce("findings", F.array().cast("array<string>")))
-    return rows.where((F.col("topic") != "other") | (F.size("findings") > 0)).select("place", "topic", "findings")
+def overview(findings: DataFrame, *keys: str) -> DataFrame:
+    """For each key (an analysis, or none) the topics in fixed order with their findings; the eight named ones always, `other` only if it has any."""
+    names = F.array(*[F.struct(F.lit(k).alias("place"), F.lit(t).alias("topic")) for k, t in enumerate([*V.TOPICS, "other"])])
+    every = (findings.select(*keys).distinct() if keys else findings.sparkSession.range(1)).select(*keys, F.explode(names).alias("t")).select(*keys, "t.*")
+    grouped = findings.withColumn("topic", T.topic(F.col("label"))).groupBy(*keys, "topic").agg(F.sort_array(F.collect_list("finding_id")).alias("findings"))
+    rows = every.join(grouped, [*keys, "topic"], "left").withColumn("findings", F.coalesce("findings", F.array().cast("array<string>")))
+    return rows.where((F.col("topic") != "other") | (F.size("findings") > 0)).select(*keys, "place", "topic", "findings")
 
 
 def topics(labels: DataFrame) -> DataFrame:

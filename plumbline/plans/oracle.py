@@ -43,6 +43,15 @@ def negative(column: str) -> str:
     return f"(len(list_filter({words(column)}, lambda w: list_contains({some_of(V.NEGATIONS)}, w))) > 0 OR {any_of(column, V.PROHIBITIONS)})"
 
 
+def topic(column: str) -> str:
+    """Topic of a label: the first phrase it has, else its first known word, else other."""
+    found = f"regexp_extract_all(lower(substr(coalesce({column}, ''), 1, 64)), '[a-z]+')"
+    phrases = " ".join(f"WHEN contains(' ' || array_to_string({found}, ' ') || ' ', {lit(f' {p} ')}) THEN {lit(n)}" for p, n in V.TOPIC_PHRASES)
+    names = [(key, name) for name, keys in V.TOPICS.items() for key in keys]
+    known = f"list_filter({found}, lambda w: list_contains({some_of(k for k, _ in names)}, w))"
+    return f"(CASE {phrases} ELSE coalesce({some_of(n for _, n in names)}[list_position({some_of(k for k, _ in names)}, {known}[1])], 'other') END)"
+
+
 def folded(column: str, case: bool = True) -> str:
     out = f"translate(nfc_normalize(coalesce({column}, '')), {lit(V.ZERO_WIDTH)}, '')"
     for old, new in {**V.LIGATURES, **V.PUNCTUATION}.items():

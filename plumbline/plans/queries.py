@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import values as X
 from ..functions import vocabulary as V
-from ..operators import claims, coverage, evaluation, findings, grounding, judgements, mutations, release, value_index
+from ..operators import claims, coverage, evaluation, findings, grounding, judgements, mutations, parties, release, value_index
 from ..sources import sinks, uploads
 from ..streaming import jobs
-from . import fixtures, oracle
+from . import oracle
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,6 +34,10 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "text")
+
+
 def doc_pages(spark: SparkSession, d: str) -> DataFrame:
     """Documents as pages: each line is a page; every seventh has an image."""
     docs = _table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("pos", "text"))
@@ -47,19 +51,19 @@ pages AS MATERIALIZED (SELECT *, CASE WHEN trim(text, ' ' || chr(9) || chr(13))
 
 
 @query("e01_manifest", f"""WITH {_PAGES}
-SELECT document_id, count(*)::INT AS total_pages, count(*) FILTER (status IN ('processed', 'empty')) AS captured, count(*) FILTER (status = 'unreadable') AS unreadable,
-  sum(length(text))::BIGINT AS total_text_length FROM pages GROUP BY document_id""")
+SELECT doc_id AS document_id, count(status)::INT AS total_pages, count(*) FILTER (status IN ('processed', 'empty')) AS captured, count(*) FILTER (status = 'unreadable') AS unreadable,
+  coalesce(sum(length(pages.text)), 0)::BIGINT AS total_text_length FROM documents LEFT JOIN pages ON doc_id = document_id GROUP BY doc_id""")
 def _(spark, d):
-    m = coverage.manifest(doc_pages(spark, d))
+    m = coverage.manifest(doc_pages(spark, d), _texts(spark, d))
     return m.select("document_id", "total_pages", F.size("processed").cast("long").alias("captured"), F.size("unreadable").cast("long").alias("unreadable"), "total_text_length")
 
 
-@query("b60_coverage", f"""WITH {_PAGES}, m AS (SELECT document_id, count(*) AS n, count(*) FILTER (status IN ('processed', 'empty')) AS k,
-  count(*) FILTER (status = 'unreadable') AS u FROM pages GROUP BY document_id)
+@query("b60_coverage", f"""WITH {_PAGES}, m AS (SELECT doc_id AS document_id, count(status) AS n, count(*) FILTER (status IN ('processed', 'empty')) AS k,
+  count(*) FILTER (status = 'unreadable') AS u FROM documents LEFT JOIN pages ON doc_id = document_id GROUP BY doc_id)
 SELECT document_id, CASE WHEN k = 0 THEN 'failed' WHEN u > 0 THEN 'incomplete' ELSE 'complete' END AS status, k::INT AS processed_pages,
-  CASE WHEN u > 0 THEN 'pages_unreadable' ELSE '' END AS reasons FROM m""")
+  CASE WHEN n = 0 THEN 'no_pages' WHEN u > 0 THEN 'pages_unreadable' ELSE '' END AS reasons FROM m""")
 def _(spark, d):
-    v = coverage.coverage(coverage.manifest(doc_pages(spark, d)))
+    v = coverage.coverage(coverage.manifest(doc_pages(spark, d), _texts(spark, d)))
     return v.select("document_id", "status", "processed_pages", F.array_join("blocking_reasons", ",").alias("reasons"))
 
 
@@ -160,27 +164,130 @@ def _(spark, d):
     return index.select("document_id", "kind", "value", F.col("page_number").cast("long").alias("page_number"), F.array_join("elsewhere", ",").alias("elsewhere"))
 
 
+@query("g01_verify_quotes", f"""WITH {_PAGES}, f AS (SELECT document_id, count(*) AS n, max(CASE WHEN page_number = 1 THEN text END) AS text FROM pages GROUP BY document_id)
+SELECT document_id, CASE document_id % 5 WHEN 1 THEN 'unverified' WHEN 2 THEN 'rejected' WHEN 3 THEN 'unverified' WHEN 4 THEN 'unverified' ELSE CASE WHEN {oracle.folded('substr(text, 1, 60)')} = '' THEN 'unverified' ELSE 'verified' END END AS status,
+  CASE document_id % 5 WHEN 1 THEN 'empty_quote' WHEN 2 THEN 'invalid_page' WHEN 3 THEN 'missing_evidence' WHEN 4 THEN 'quote_too_long' ELSE CASE WHEN {oracle.folded('substr(text, 1, 60)')} = '' THEN 'empty_quote' ELSE '' END END AS reasons FROM f""")
+def _(spark, d):
+    pages = doc_pages(spark, d)
+    first = pages.where("page_number = 1").select("document_id", "text")
+    counts = pages.groupBy("document_id").agg(F.count("*").alias("page_count"))
+    kind = F.col("document_id") % 5
+    quote = F.when(kind == 1, " ").when(kind == 3, None).when(kind == 4, F.repeat(F.lit("long "), 500)).otherwise(F.upper(F.substring("text", 1, 60)))
+    page = F.when(kind == 2, F.col("page_count") + 1).when(kind == 3, None).otherwise(F.lit(1))
+    proposals = first.join(counts, "document_id").select("document_id", F.substring("text", 1, 60).alias("claim"), page.cast("int").alias("page"), quote.alias("quote"), "page_count")
+    return grounding.verify(proposals, pages).select("document_id", "status", F.array_join("reasons", ",").alias("reasons"))
+
+
+_FINDINGS = "SELECT conv_id AS analysis_id, turn AS pos, '' AS id, turn % 3 <> 2 AS released, CASE turn % 4 WHEN 0 THEN 'verified' WHEN 1 THEN 'rejected' WHEN 2 THEN 'unverified' ELSE 'partially_verified' END AS status FROM conversations"
+
+
+def _findings(spark: SparkSession, d: str) -> DataFrame:
+    turn = F.col("turn") % 4
+    status = F.when(turn == 0, "verified").when(turn == 1, "rejected").when(turn == 2, "unverified").otherwise("partially_verified")
+    return _table(spark, d, "conversations").select(F.col("conv_id").alias("analysis_id"), F.col("turn").alias("pos"), F.lit("").alias("id"), (F.col("turn") % 3 != 2).alias("released"), status.alias("status"))
+
+
+@query("f01_finding_ids", f"""WITH f AS ({_FINDINGS}) SELECT analysis_id, pos, CASE WHEN released THEN 'f_' || lpad((row_number() OVER (PARTITION BY analysis_id, released ORDER BY pos))::VARCHAR, 3, '0') END AS finding_id FROM f""")
+def _(spark, d):
+    return release.numbered(_findings(spark, d)).select("analysis_id", "pos", "finding_id")
+
+
+@query("e05_withheld", f"""WITH f AS ({_FINDINGS}) SELECT analysis_id, count(*) FILTER (released) AS released, count(*) FILTER (NOT released) AS withheld, count(*) FILTER (NOT released AND status = 'rejected') AS rejected,
+count(*) FILTER (NOT released AND status = 'unverified') AS unverified, count(*) FILTER (NOT released AND status = 'partially_verified') AS partially_verified FROM f GROUP BY analysis_id""")
+def _(spark, d):
+    return release.withheld(_findings(spark, d), "analysis_id")
+
+
+@query("e03_verdict_histogram", f"WITH f AS ({_FINDINGS}) SELECT coalesce(status, 'All') AS status, count(*) AS n FROM f GROUP BY ROLLUP (status)")
+def _(spark, d):
+    return _findings(spark, d).rollup("status").count().select(F.coalesce("status", F.lit("All")).alias("status"), F.col("count").alias("n"))
+
+
+@query("f06_latest_job", "SELECT user_id, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id")
+def _(spark, d):
+    return jobs.latest(_table(spark, d, "events").select("user_id", "ts", "event_id", "event_type"), "user_id", "ts", "event_id")
+
+
+@query("a19_expired", "SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 3600 SECOND")
+def _(spark, d):
+    events = _table(spark, d, "events").select("event_id", "ts")
+    newest = events.agg(F.max("ts").alias("now"))
+    return sinks.unexpired(events.join(F.broadcast(newest)), "ts", F.col("now"), 3600).select("event_id")  # one row
+
+
+@query("a21_upsert", """WITH b AS (SELECT *, CASE WHEN event_id % 2 = 0 THEN 0 ELSE 1 END AS new FROM events)
+SELECT user_id, event_type, event_id FROM b QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY new DESC, event_id DESC) = 1""")
+def _(spark, d):
+    events = _table(spark, d, "events").select("user_id", "event_type", "event_id")
+    return sinks.upsert(events.where("event_id % 2 = 0"), events.where("event_id % 2 = 1"), "user_id", "event_type", order="event_id")
+
+
+@query("a21_insert_ignore", """SELECT user_id, event_type, min(event_id) AS event_id FROM events WHERE event_id % 2 = 1 AND (user_id, event_type) NOT IN (SELECT (user_id, event_type) FROM events WHERE event_id % 2 = 0) GROUP BY ALL""")
+def _(spark, d):
+    events = _table(spark, d, "events").select("user_id", "event_type", "event_id")
+    return sinks.insert_ignore(events.where("event_id % 2 = 0"), events.where("event_id % 2 = 1"), "user_id", "event_type", order="event_id")
+
+
+@query("a22_cascade", "SELECT conv_id, turn FROM conversations WHERE conv_id IN (SELECT doc_id FROM documents WHERE lang <> 'fr')")
+def _(spark, d):
+    parents = _table(spark, d, "documents").where("lang <> 'fr'").select(F.col("doc_id").alias("conv_id"))
+    return sinks.without(parents, _table(spark, d, "conversations").select("conv_id", "turn"), "conv_id")
+
+
+@query("a23_filename_digest", "SELECT page_id, sha256('salt' || chr(0) || url) AS digest, CASE WHEN regexp_extract(lower(url), '\\.([^.]*)$', 1) = '' OR length(regexp_extract(lower(url), '\\.([^.]*)$', 1)) > 10 THEN 'none' ELSE regexp_extract(lower(url), '\\.([^.]*)$', 1) END AS extension FROM pages")
+def _(spark, d):
+    return _table(spark, d, "pages").select("page_id", sinks.filename_digest(F.col("url"), "salt").alias("digest"), sinks.file_extension(F.col("url")).alias("extension"))
+
+
+@query("a24_constraints", "SELECT count(*) FILTER (quality NOT IN (0, 1) OR quality IS NULL) AS bad_quality, count(*) FILTER (toxic NOT IN (0, 1) OR toxic IS NULL) AS bad_toxic, count(*) AS n FROM labels")
+def _(spark, d):
+    labels = _table(spark, d, "labels")
+    bad = {c: F.count_if(~F.coalesce(F.col(c).isin(0, 1), F.lit(False))).alias(f"bad_{c}") for c in ("quality", "toxic")}
+    return labels.agg(bad["quality"], bad["toxic"], F.count("*").alias("n"))
+
+
+@query("e16_distinct_types", "SELECT DISTINCT event_type FROM events")
+def _(spark, d):
+    return _table(spark, d, "events").select("event_type").dropDuplicates()
+
+
+def clause_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Every page of every document as a claim, with the next page as its context."""
+    after = F.lead("text").over(Window.partitionBy("document_id").orderBy("page_number"))
+    pages = doc_pages(spark, d).select("document_id", F.col("page_number").cast("long").alias("page_number"), F.col("text").alias("claim"), after.alias("context"))
+    return pages.where(F.col("context").isNotNull()).withColumn("case_id", F.col("document_id") * 100_000 + F.col("page_number"))
+
+
+_PAIRS = f"""{_PAGES}, pairs AS MATERIALIZED (SELECT document_id, page_number, document_id * 100000 + page_number AS case_id, text AS claim,
+  lead(text) OVER (PARTITION BY document_id ORDER BY page_number) AS context FROM pages QUALIFY context IS NOT NULL)"""
+
+
 @query("c02_numbers_in_clauses")
 def _(spark, d):
-    rows = spark.sql(fixtures.CASES).select("case_id", F.posexplode(X.numbers(F.col("claim"))).alias("pos", "v"))
-    return rows.select("case_id", "pos", "v.*")
+    return doc_pages(spark, d).select("document_id", "page_number", F.posexplode(X.numbers(F.col("text"))).alias("pos", "v")).select("document_id", "page_number", "pos", "v.*")
 
 
-@query("c08_dates_in_clauses", """SELECT * FROM (VALUES ('c13', '1 march 2027', '2027-03-01', false), ('c14', '2027-05-01', '2027-05-01', false)) AS t(case_id, raw, resolved, ambiguous)""")
+@query("c08_dates_in_clauses")
 def _(spark, d):
-    return spark.sql(fixtures.CASES).select("case_id", F.explode(X.dates(F.col("claim"))).alias("v")).select("case_id", "v.raw", F.col("v.resolved").cast("string").alias("resolved"), "v.ambiguous")
+    found = doc_pages(spark, d).select("document_id", "page_number", F.explode(X.dates(F.col("text"))).alias("v"))
+    return found.select("document_id", "page_number", "v.raw", F.col("v.resolved").cast("string").alias("resolved"), "v.ambiguous")
 
 
-@query("c10_compare_values", "SELECT case_id, CASE WHEN case_id IN ('c02', 'c12', 'c13') THEN 'mismatch' ELSE 'match' END AS result FROM (" + fixtures.CASES + ")")
+@query("c10_compare_values")
 def _(spark, d):
     own, context = F.col("claim"), F.col("context")
-    result = X.compare(X.numbers(own), X.dates(own), X.numbers(context), X.dates(context))["result"]
-    return spark.sql(fixtures.CASES).select("case_id", result.alias("result"))
+    pairs = clause_pairs(spark, d).withColumns({"cn": X.numbers(own), "cd": X.dates(own), "sn": X.numbers(context), "sd": X.dates(context)})
+    return pairs.select("case_id", X.compare(*(F.col(c) for c in ("cn", "cd", "sn", "sd")))["result"].alias("result"))
 
 
-@query("b26_subject_overlap", f"SELECT case_id, {oracle.overlap('claim', 'context')} AS overlap FROM ({fixtures.CASES})")
+@query("b26_subject_overlap", f"WITH {_PAIRS} SELECT case_id, {oracle.overlap('claim', 'context')} AS overlap FROM pairs")
 def _(spark, d):
-    return spark.sql(fixtures.CASES).select("case_id", T.overlap(F.col("claim"), F.col("context")).alias("overlap"))
+    return clause_pairs(spark, d).select("case_id", T.overlap(F.col("claim"), F.col("context")).alias("overlap"))
+
+
+@query("g03_check_claim")
+def _(spark, d):
+    return claims.check(clause_pairs(spark, d)).select("case_id", F.array_join("issues", ",").alias("issues"), "status")
 
 
 def _issue(test: str, name: str) -> str:
@@ -203,7 +310,6 @@ _NEAR = f"""(len(list_filter(range(1, len({oracle.words('context')}) + 1), lambd
   OR ({oracle.any_of('context', V.PROHIBITIONS)} AND o >= 0.6))"""
 _ISSUES = ", ".join([
     _issue("o < 0.5", "not_established_by_evidence"),
-    _issue("case_id IN ('c02', 'c12', 'c13')", "value_not_in_evidence"),
     _issue(f"{oracle.negative('context')} AND NOT {oracle.negative('claim')} AND {_NEAR}", "negation_dropped"),
     _issue(f"{oracle.negative('claim')} AND NOT {oracle.negative('context')}", "negation_added"),
     _issue(f"{oracle.modality('claim')} <> 'none' AND {oracle.modality('context')} = 'none'", "modality_unsupported"),
@@ -217,205 +323,150 @@ _ISSUES = ", ".join([
     _issue(_added(V.INDEFINITE), "time_limit_removed"),
     _issue(f"{oracle.any_of('context', V.REFERENCES)} AND o < 0.6", "evidence_only_references"),
 ])
-_CHECKED = f"""WITH k AS (SELECT *, {oracle.overlap('claim', 'context')} AS o FROM ({fixtures.CASES})),
-i AS (SELECT *, list_filter([{_ISSUES}], lambda x: x IS NOT NULL) AS i FROM k),
-r AS (SELECT case_id, family, category, array_to_string(i, ',') AS issues, CASE WHEN len(i) = 0 THEN 'supported' WHEN list_has_any(i, {oracle.some_of(V.CONTRADICTIONS)}) AND o >= 0.6 THEN 'contradicted' ELSE 'unsupported' END AS status FROM i)"""
 
 
-@query("g03_check_claim", f"{_CHECKED} SELECT case_id, issues, status FROM r")
+@query("g03_axes", f"""WITH {_PAIRS}, k AS (SELECT *, {oracle.overlap('claim', 'context')} AS o FROM pairs)
+SELECT case_id, array_to_string(list_filter([{_ISSUES}], lambda x: x IS NOT NULL), ',') AS issues FROM k""")
+def _(spark, d):
+    """The issues that words alone decide; values, parties and carve-outs are judged in g03_check_claim."""
+    other = F.array(*map(F.lit, ("value_not_in_evidence", "actor_not_in_evidence", "actor_role_reversed", "carve_out_dropped")))
+    return claims.check(clause_pairs(spark, d)).select("case_id", F.array_join(F.array_except("issues", other), ",").alias("issues"))
+
+
+@query("b36_acting_party")
 def _(spark, d):
-    return claims.check(spark.sql(fixtures.CASES)).select("case_id", F.array_join("issues", ",").alias("issues"), "status")
+    pairs = clause_pairs(spark, d).withColumn("names", F.array_union(parties.named(F.col("claim")), parties.named(F.col("context"))))
+    return pairs.select("case_id", F.array_join(F.array_sort("names"), ",").alias("names"), parties.acting(F.col("claim"), F.col("names")).alias("actor"))
+
 
+def _turns(spark: SparkSession, d: str) -> DataFrame:
+    """Turns of conversations with the turn before, which stands for what an answer rests on."""
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    return _table(spark, d, "conversations").withColumn("before", before).withColumn("answer_id", F.concat_ws("-", "conv_id", "turn"))
 
-@query("g13_gate_answers", f"{_CHECKED} SELECT r.case_id AS answer_id, CASE WHEN status = 'supported' THEN 'supported' ELSE 'not_found' END AS status, CASE WHEN status = 'supported' THEN claim ELSE '' END AS released FROM r JOIN k USING (case_id)")
+
+@query("g13_gate_answers")
 def _(spark, d):
-    cases = spark.sql(fixtures.CASES)
-    answers = cases.select(F.col("case_id").alias("answer_id"), F.col("claim").alias("answer"), F.lit(False).alias("not_found"))
-    evidence = cases.select(F.col("case_id").alias("answer_id"), F.lit(0).alias("context_pos"), "context", F.lit("verified").alias("status"))
+    turns = _turns(spark, d).where("role = 'assistant'")
+    answers = turns.select("answer_id", F.col("text").alias("answer"), F.lit(False).alias("not_found"))
+    evidence = turns.where("before IS NOT NULL").select("answer_id", F.lit(0).alias("context_pos"), F.col("before").alias("context"), F.lit("verified").alias("status"))
     return findings.gate(answers, evidence)
 
 
 @query("e15_mutation_coverage")
 def _(spark, d):
-    return mutations.coverage(spark.sql(fixtures.CASES).where("family = 'legitimate'").select("case_id", "context"))
+    return mutations.coverage(clause_pairs(spark, d).select("case_id", "context"))
 
 
-@query("e12_scores", f"""{_CHECKED}, f AS (SELECT family, category, status <> 'supported' AS flagged FROM r)
+@query("e12_scores", f"""WITH f AS (SELECT CASE WHEN toxic = 1 THEN 'attack' ELSE 'legitimate' END AS family, lang AS category, {oracle.negative('text')} AS flagged FROM documents JOIN labels USING (doc_id))
 SELECT family, category, count(*) AS cases, count(*) FILTER (family = 'attack') AS attacks, count(*) FILTER (family = 'attack' AND flagged) AS detected, count(*) FILTER (family <> 'attack') AS legitimate,
   count(*) FILTER (family <> 'attack' AND NOT flagged) AS released,
   CASE WHEN count(*) FILTER (family = 'attack') > 0 THEN round(100.0 * count(*) FILTER (family = 'attack' AND NOT flagged) / count(*) FILTER (family = 'attack'), 1)::DOUBLE END AS missed_pct,
   CASE WHEN count(*) FILTER (family <> 'attack') > 0 THEN round(100.0 * count(*) FILTER (family <> 'attack' AND flagged) / count(*) FILTER (family <> 'attack'), 1)::DOUBLE END AS false_pct
 FROM f GROUP BY GROUPING SETS ((family), (category), ())""")
 def _(spark, d):
-    return evaluation.scores(claims.check(spark.sql(fixtures.CASES)).select("family", "category", (F.col("status") != "supported").alias("flagged")))
+    rows = _table(spark, d, "documents").join(_table(spark, d, "labels"), "doc_id")
+    return evaluation.scores(rows.select(F.when(F.col("toxic") == 1, "attack").otherwise("legitimate").alias("family"), F.col("lang").alias("category"), T.is_negative(F.col("text")).alias("flagged")))
 
 
-@query("e14_threshold_sweep", f"""WITH k AS (SELECT case_id, family, {oracle.overlap('claim', 'context')} AS o FROM ({fixtures.CASES})),
+@query("e14_threshold_sweep", f"""WITH {_PAIRS}, k AS (SELECT case_id, CASE WHEN document_id % 2 = 0 THEN 'attack' ELSE 'legitimate' END AS family, {oracle.overlap('claim', 'context')} AS o FROM pairs),
 t AS (SELECT *, o < threshold AS flagged FROM k, (SELECT unnest([0.4, 0.5, 0.6, 0.7, 0.8])::DOUBLE AS threshold)),
 l AS (SELECT *, lag(flagged) OVER (PARTITION BY case_id ORDER BY threshold) AS b FROM t)
 SELECT threshold, count(*) FILTER (family = 'attack' AND NOT flagged) AS missed, count(*) FILTER (family <> 'attack' AND flagged) AS false_alarms, count(*) FILTER (b <> flagged) AS changed FROM l GROUP BY threshold""")
 def _(spark, d):
-    return evaluation.sweep(spark.sql(fixtures.CASES).select("case_id", "family", T.overlap(F.col("claim"), F.col("context")).alias("overlap")))
-
-
-@query("f03_best_context", f"""WITH k AS (SELECT *, {oracle.overlap('claim', 'context')} AS o FROM (SELECT a.case_id, a.claim, b.context, CAST(substr(b.case_id, 2) AS INT) AS context_pos FROM ({fixtures.CASES}) a, ({fixtures.CASES}) b WHERE abs(CAST(substr(a.case_id, 2) AS INT) - CAST(substr(b.case_id, 2) AS INT)) <= 2))
-SELECT case_id, max(o) AS best, arg_min(context_pos, (-o, context_pos)) AS context_pos FROM k GROUP BY case_id""")
-def _(spark, d):
-    cases = spark.sql(fixtures.CASES)
-    number = F.substring("case_id", 2, 9).cast("int")
-    a, b = cases.select("case_id", "claim", number.alias("n")), cases.select("context", number.alias("context_pos"))
-    near = a.withColumn("context_pos", F.explode(F.sequence(F.col("n") - 2, F.col("n") + 2))).join(b, "context_pos")
-    scored = near.withColumn("o", T.overlap(F.col("claim"), F.col("context")))
-    return scored.groupBy("case_id").agg(F.max("o").alias("best"), F.min_by("context_pos", F.struct(-F.col("o"), "context_pos")).alias("context_pos"))
-
-
-@query("b48_topics", """SELECT * FROM (VALUES ('f_001', 'liability'), ('f_002', 'fees'), ('f_003', 'governing_law'), ('f_004', 'confidentiality'), ('f_005', 'other'), ('f_006', 'term'),
-('f_007', 'notices'), ('f_008', 'other'), ('f_009', 'termination'), ('f_010', 'other')) AS t(finding_id, topic)""")
-def _(spark, d):
-    return release.topics(spark.sql(fixtures.LABELS)).select("finding_id", "topic")
-
-
-@query("e09_overview", """SELECT * FROM (VALUES (0, 'parties', ''), (1, 'term', 'f_006'), (2, 'fees', 'f_002'), (3, 'termination', 'f_009'), (4, 'confidentiality', 'f_004'), (5, 'liability', 'f_001'),
-(6, 'notices', 'f_007'), (7, 'governing_law', 'f_003'), (8, 'other', 'f_005,f_008,f_010')) AS t(place, topic, findings)""")
-def _(spark, d):
-    return release.overview(spark.sql(fixtures.LABELS)).withColumn("findings", F.array_join("findings", ","))
-
-
-@query("b43_attention")
-def _(spark, d):
-    return spark.sql(fixtures.CASES).select("case_id", release.attention(F.col("context")).alias("attention"))
-
-
-@query("a01_upload_checks", """SELECT * FROM (VALUES ('u1', 'lease.pdf', NULL), ('u2', 'My file_.PDF', NULL), ('u3', 'a.docx', 'unsupported_extension'), ('u4', 'a.pdf', 'unsupported_mime_type'), ('u5', 'a.pdf', 'signature_mismatch'),
-('u6', 'a.pdf', 'empty_file'), ('u7', NULL, 'unsafe_filename'), ('u8', 'big.pdf', 'file_too_large')) AS t(upload_id, name, error)""")
-def _(spark, d):
-    error = uploads.first_error(F.col("name"), F.col("content_type"), F.col("size"), F.col("head").cast("binary"))
-    return spark.sql(fixtures.UPLOADS).select("upload_id", T.sanitized_filename(F.col("name")).alias("name"), error.alias("error"))
+    family = F.when(F.col("document_id") % 2 == 0, "attack").otherwise("legitimate")
+    return evaluation.sweep(clause_pairs(spark, d).select("case_id", family.alias("family"), T.overlap(F.col("claim"), F.col("context")).alias("overlap")))
 
 
-@query("g05_conflicting_definitions", "SELECT * FROM (VALUES ('d1', 'business day'), ('d3', 'term')) AS t(document_id, term)")
+@query("f03_best_context", f"""WITH {_PAGES}, k AS (SELECT a.document_id, a.page_number, b.page_number AS context_page, {oracle.overlap('a.text', 'b.text')} AS o
+  FROM pages a JOIN pages b ON a.document_id = b.document_id AND abs(a.page_number - b.page_number) BETWEEN 1 AND 2)
+SELECT document_id, page_number, max(o) AS best, arg_min(context_page, (-o, context_page)) AS context_page FROM k GROUP BY ALL""")
 def _(spark, d):
-    return claims.conflicting_definitions(spark.sql(fixtures.DEFINITIONS))
-
-
-@query("g06_check_findings", """SELECT * FROM (VALUES ('j1', 'verified', NULL), ('j2', 'rejected', 'evidence_instruction_like'), ('j3', 'rejected', 'evidence_instruction_like'),
-('j4', 'rejected', 'claim_contradicted'), ('j5', 'rejected', 'evidence_instruction_like')) AS t(finding_id, status, reason)""")
-def _(spark, d):
-    rows = spark.sql(fixtures.JUDGED).select("finding_id", F.lit("d").alias("document_id"), "claim", "quote", "context", F.lit("verified").alias("status"))
-    contested = spark.sql("SELECT 'd' AS document_id, 'business day' AS term")
-    return judgements.checked_findings(rows, contested).select("finding_id", "status", "reason")
-
-
-@query("b45_explanations", """SELECT * FROM (VALUES ('j1', '', false, 'explanation_contradicted'), ('j2', '', false, NULL), ('j3', '', false, 'evidence_instruction_like'),
-('j4', 'The Tenant shall pay rent within 30 days.', true, NULL), ('j5', 'A weekday in London.', true, NULL)) AS t(finding_id, explanation, explanation_verified, reason)""")
-def _(spark, d):
-    return judgements.explanations(spark.sql(fixtures.JUDGED).select("finding_id", "explanation", "context"))
-
-
-@query("b46_translations", "SELECT * FROM (VALUES ('j1', NULL), ('j2', 'x'), ('j3', NULL), ('j4', 'Rent in 30 days'), ('j5', 'A weekday')) AS t(finding_id, translation)")
-def _(spark, d):
-    shown = judgements.translation(F.col("translation"), F.col("finding_id") != "j3", F.col("context"))
-    return spark.sql(fixtures.JUDGED).select("finding_id", shown.alias("translation"))
-
-
-@query("g14_notes", """SELECT * FROM (VALUES ('a', 1, true, true, 'n_001'), ('a', 2, false, false, NULL), ('a', 3, true, false, 'n_002'), ('a', 4, false, false, NULL), ('a', 5, false, false, NULL),
-('b', 1, false, false, NULL), ('b', 2, true, true, 'n_001')) AS t(analysis_id, pos, released, evidence_checked, note_id)""")
-def _(spark, d):
-    quotes = F.when(F.col("quoted") == "", F.array().cast("array<string>")).otherwise(F.array("quoted"))
-    proposed = spark.sql(fixtures.NOTES).select("analysis_id", "pos", "text", F.split("ids", ",").alias("finding_ids"), quotes.alias("quotes"))
-    return judgements.notes(proposed, spark.sql(fixtures.SHOWN))
-
-
-@query("g01_verify_quotes", f"""WITH {_PAGES}, f AS (SELECT document_id, count(*) AS n, max(CASE WHEN page_number = 1 THEN text END) AS text FROM pages GROUP BY document_id)
-SELECT document_id, CASE document_id % 5 WHEN 1 THEN 'unverified' WHEN 2 THEN 'rejected' WHEN 3 THEN 'unverified' WHEN 4 THEN 'unverified' ELSE CASE WHEN {oracle.folded('substr(text, 1, 60)')} = '' THEN 'unverified' ELSE 'verified' END END AS status,
-  CASE document_id % 5 WHEN 1 THEN 'quote_blank' WHEN 2 THEN 'page_out_of_range' WHEN 3 THEN 'missing_evidence' WHEN 4 THEN 'quote_too_long' ELSE CASE WHEN {oracle.folded('substr(text, 1, 60)')} = '' THEN 'quote_blank' ELSE '' END END AS reasons FROM f""")
-def _(spark, d):
-    pages = doc_pages(spark, d)
-    first = pages.where("page_number = 1").select("document_id", "text")
-    counts = pages.groupBy("document_id").agg(F.count("*").alias("page_count"))
-    kind = F.col("document_id") % 5
-    quote = F.when(kind == 1, " ").when(kind == 3, None).when(kind == 4, F.repeat(F.lit("long "), 500)).otherwise(F.upper(F.substring("text", 1, 60)))
-    page = F.when(kind == 2, F.col("page_count") + 1).when(kind == 3, None).otherwise(F.lit(1))
-    proposals = first.join(counts, "document_id").select("document_id", F.substring("text", 1, 60).alias("claim"), page.cast("int").alias("page"), quote.alias("quote"), "page_count")
-    return grounding.verify(proposals, pages).select("document_id", "status", F.array_join("reasons", ",").alias("reasons"))
+    pages = doc_pages(spark, d).select("document_id", F.col("page_number").cast("long").alias("page_number"), "text")
+    near = pages.withColumn("context_page", F.explode(F.array(*[F.col("page_number") + k for k in (-2, -1, 1, 2)])))
+    met = near.join(pages.select("document_id", F.col("page_number").alias("context_page"), F.col("text").alias("context")), ["document_id", "context_page"])
+    return claims.best_context(met.withColumnRenamed("text", "claim"), "document_id", "page_number", place="context_page")
 
 
-_FINDINGS = "SELECT conv_id AS analysis_id, turn AS pos, '' AS id, turn % 3 <> 2 AS released, CASE turn % 4 WHEN 0 THEN 'verified' WHEN 1 THEN 'rejected' WHEN 2 THEN 'unverified' ELSE 'partially_verified' END AS status FROM conversations"
+_LABELLED = f"SELECT conv_id AS analysis_id, turn AS pos, {oracle.topic('text')} AS topic FROM conversations"
 
 
-def _findings(spark: SparkSession, d: str) -> DataFrame:
-    turn = F.col("turn") % 4
-    status = F.when(turn == 0, "verified").when(turn == 1, "rejected").when(turn == 2, "unverified").otherwise("partially_verified")
-    return _table(spark, d, "conversations").select(F.col("conv_id").alias("analysis_id"), F.col("turn").alias("pos"), F.lit("").alias("id"), (F.col("turn") % 3 != 2).alias("released"), status.alias("status"))
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "conversations").select(F.col("conv_id").alias("analysis_id"), F.col("turn").alias("pos"), F.format_string("f_%03d", "turn").alias("finding_id"), F.col("text").alias("label"))
 
 
-@query("f01_finding_ids", f"""WITH f AS ({_FINDINGS}) SELECT analysis_id, pos, CASE WHEN released THEN 'f_' || lpad((row_number() OVER (PARTITION BY analysis_id, released ORDER BY pos))::VARCHAR, 3, '0') END AS finding_id FROM f""")
+@query("b48_topics", _LABELLED)
 def _(spark, d):
-    return release.numbered(_findings(spark, d)).select("analysis_id", "pos", "finding_id")
+    return release.topics(_labelled(spark, d)).select("analysis_id", "pos", "topic")
 
 
-@query("e05_withheld", f"""WITH f AS ({_FINDINGS}) SELECT analysis_id, count(*) FILTER (released) AS released, count(*) FILTER (NOT released) AS withheld, count(*) FILTER (NOT released AND status = 'rejected') AS rejected,
-count(*) FILTER (NOT released AND status = 'unverified') AS unverified, count(*) FILTER (NOT released AND status = 'partially_verified') AS partially_verified FROM f GROUP BY analysis_id""")
+@query("e09_overview", f"""WITH f AS ({_LABELLED}), t AS (SELECT unnest(range({len(V.TOPICS) + 1}))::INT AS place, unnest({oracle.some_of([*V.TOPICS, 'other'])}) AS topic)
+SELECT a.analysis_id, place, t.topic, coalesce(string_agg('f_' || lpad(pos::VARCHAR, 3, '0'), ',' ORDER BY pos), '') AS findings
+FROM (SELECT DISTINCT analysis_id FROM f) a CROSS JOIN t LEFT JOIN f ON f.analysis_id = a.analysis_id AND f.topic = t.topic GROUP BY ALL HAVING t.topic <> 'other' OR count(pos) > 0""")
 def _(spark, d):
-    return release.withheld(_findings(spark, d), "analysis_id")
+    return release.overview(_labelled(spark, d), "analysis_id").withColumn("findings", F.array_join("findings", ","))
 
 
-@query("e03_verdict_histogram", f"WITH f AS ({_FINDINGS}) SELECT coalesce(status, 'All') AS status, count(*) AS n FROM f GROUP BY ROLLUP (status)")
-def _(spark, d):
-    return _findings(spark, d).rollup("status").count().select(F.coalesce("status", F.lit("All")).alias("status"), F.col("count").alias("n"))
-
-
-@query("f06_latest_job", "SELECT user_id, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id")
+@query("b43_attention")
 def _(spark, d):
-    return jobs.latest(_table(spark, d, "events").select("user_id", "ts", "event_id", "event_type"), "user_id", "ts", "event_id")
-
+    return doc_pages(spark, d).select("document_id", "page_number", release.attention(F.col("text")).alias("attention"))
 
-_JOBS = "SELECT * FROM (VALUES ('d', 0, 'submit', 'en'), ('d', 1, 'submit', 'en'), ('d', 2, 'submit', 'ta'), ('d', 3, 'completed', NULL), ('d', 4, 'submit', 'en'), ('d', 5, 'submit', 'ta'), ('d', 6, 'failed', NULL), ('d', 7, 'submit', 'ta')) AS t(document_id, seq, event, language)"
 
-
-@query("i04_submissions", "SELECT * FROM (VALUES ('d', 0, 'new'), ('d', 1, 'reuse'), ('d', 2, 'conflict'), ('d', 4, 'reuse'), ('d', 5, 'new'), ('d', 7, 'new')) AS t(document_id, seq, decision)")
+@query("a01_upload_checks", """WITH u AS (SELECT page_id, page_id % 4 AS n, page_id % 5 AS c, CASE WHEN page_id % 7 = 0 THEN 0 ELSE length(html) END AS size, page_id % 2 AS h FROM pages)
+SELECT page_id, CASE WHEN n = 3 THEN 'unsafe_filename' WHEN size = 0 THEN 'empty_file' WHEN n = 2 THEN 'unsupported_extension' WHEN c = 4 THEN 'unsupported_mime_type' WHEN h = 1 THEN 'signature_mismatch' END AS error FROM u""")
 def _(spark, d):
-    return jobs.submissions(spark.sql(_JOBS))
+    k = F.col("page_id")
+    name = F.element_at(F.array(F.lit("a/b lease.pdf"), F.lit("My file.PDF"), F.lit("page.html"), F.lit("..")), (k % 4 + 1).cast("int"))
+    kind = F.when(k % 5 == 4, "text/html").otherwise("Application/PDF; charset=x")
+    head = F.when(k % 2 == 1, F.substring("html", 1, 40)).otherwise("junk %PDF-1.4").cast("binary")
+    size = F.when(k % 7 == 0, 0).otherwise(F.length("html"))
+    return _table(spark, d, "pages").select("page_id", uploads.first_error(name, kind, size, head).alias("error"))
 
 
-@query("a19_expired", "SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 3600 SECOND")
+@query("g05_conflicting_definitions")
 def _(spark, d):
-    events = _table(spark, d, "events").select("event_id", "ts")
-    newest = events.agg(F.max("ts").alias("now"))
-    return sinks.unexpired(events.join(F.broadcast(newest)), "ts", F.col("now"), 3600).select("event_id")  # one row
+    return claims.conflicting_definitions(_texts(spark, d))
 
 
-@query("a21_upsert", """WITH b AS (SELECT *, CASE WHEN event_id % 2 = 0 THEN 0 ELSE 1 END AS new FROM events)
-SELECT user_id, event_type, event_id FROM b QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY new DESC, event_id DESC) = 1""")
+@query("g06_check_findings")
 def _(spark, d):
-    events = _table(spark, d, "events").select("user_id", "event_type", "event_id")
-    return sinks.upsert(events.where("event_id % 2 = 0"), events.where("event_id % 2 = 1"), "user_id", "event_type", order="event_id")
+    rows = clause_pairs(spark, d).select(F.col("case_id").alias("finding_id"), "document_id", "claim", F.substring("context", 1, 60).alias("quote"), "context", F.lit("verified").alias("status"))
+    return judgements.checked_findings(rows, claims.conflicting_definitions(_texts(spark, d))).select("finding_id", "status", "reason")
 
 
-@query("a21_insert_ignore", """SELECT user_id, event_type, min(event_id) AS event_id FROM events WHERE event_id % 2 = 1 AND (user_id, event_type) NOT IN (SELECT (user_id, event_type) FROM events WHERE event_id % 2 = 0) GROUP BY ALL""")
+@query("b45_explanations")
 def _(spark, d):
-    events = _table(spark, d, "events").select("user_id", "event_type", "event_id")
-    return sinks.insert_ignore(events.where("event_id % 2 = 0"), events.where("event_id % 2 = 1"), "user_id", "event_type", order="event_id")
+    return judgements.explanations(clause_pairs(spark, d).select(F.col("case_id").alias("finding_id"), F.col("claim").alias("explanation"), "context"))
 
 
-@query("a22_cascade", "SELECT conv_id, turn FROM conversations WHERE conv_id IN (SELECT doc_id FROM documents WHERE lang <> 'fr')")
+@query("b46_translations")
 def _(spark, d):
-    parents = _table(spark, d, "documents").where("lang <> 'fr'").select(F.col("doc_id").alias("conv_id"))
-    return sinks.without(parents, _table(spark, d, "conversations").select("conv_id", "turn"), "conv_id")
+    shown = judgements.translation(F.col("claim"), F.col("page_number") % 3 != 0, F.col("context"))
+    return clause_pairs(spark, d).select(F.col("case_id").alias("finding_id"), shown.alias("translation"))
 
 
-@query("a23_filename_digest", "SELECT page_id, sha256('salt' || chr(0) || url) AS digest, CASE WHEN regexp_extract(lower(url), '\\.([^.]*)$', 1) = '' OR length(regexp_extract(lower(url), '\\.([^.]*)$', 1)) > 10 THEN 'none' ELSE regexp_extract(lower(url), '\\.([^.]*)$', 1) END AS extension FROM pages")
+@query("g14_notes")
 def _(spark, d):
-    return _table(spark, d, "pages").select("page_id", sinks.filename_digest(F.col("url"), "salt").alias("digest"), sinks.file_extension(F.col("url")).alias("extension"))
+    """Each turn as a note that cites the turn before; its first forty characters are the quote."""
+    turns = _turns(spark, d)
+    cited = F.when(F.col("turn") > 0, F.array(F.format_string("f_%03d", F.col("turn") - 1))).otherwise(F.array().cast("array<string>"))
+    quotes = F.when(F.col("turn") % 2 == 1, F.array(F.substring("before", 1, 40))).otherwise(F.array().cast("array<string>"))
+    proposed = turns.select(F.col("conv_id").alias("analysis_id"), F.col("turn").alias("pos"), "text", cited.alias("finding_ids"), quotes.alias("quotes"))
+    return judgements.notes(proposed, turns.select(F.col("conv_id").alias("analysis_id"), F.format_string("f_%03d", "turn").alias("finding_id"), F.col("text").alias("quote")))
 
 
-@query("a24_constraints", "SELECT count(*) FILTER (quality NOT IN (0, 1) OR quality IS NULL) AS bad_quality, count(*) FILTER (toxic NOT IN (0, 1) OR toxic IS NULL) AS bad_toxic, count(*) AS n FROM labels")
+@query("i04_submissions", """WITH RECURSIVE e AS (SELECT user_id AS document_id, event_id AS seq, CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'submit' END AS event,
+  CASE WHEN event_id % 3 = 0 THEN 'ta' ELSE 'en' END AS language, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+r(document_id, n, seq, state, language, decision) AS (
+  SELECT document_id, 0::BIGINT, 0::BIGINT, 'none', CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR) FROM e WHERE n = 1
+  UNION ALL
+  SELECT document_id, n, seq, CASE WHEN decision = 'new' THEN 'active' WHEN event <> 'submit' AND state = 'active' THEN event ELSE state END, CASE WHEN decision = 'new' THEN language ELSE held END, decision FROM (
+    SELECT e.document_id, e.n, e.seq, e.event, e.language, r.state, r.language AS held,
+      CASE WHEN e.event <> 'submit' THEN NULL WHEN r.state = 'active' AND e.language <> r.language THEN 'conflict' WHEN r.state IN ('active', 'completed') AND e.language = r.language THEN 'reuse' ELSE 'new' END AS decision
+    FROM r JOIN e ON e.document_id = r.document_id AND e.n = r.n + 1))
+SELECT document_id, seq, decision FROM r WHERE decision IS NOT NULL""")
 def _(spark, d):
-    labels = _table(spark, d, "labels")
-    bad = {c: F.count_if(~F.coalesce(F.col(c).isin(0, 1), F.lit(False))).alias(f"bad_{c}") for c in ("quality", "toxic")}
-    return labels.agg(bad["quality"], bad["toxic"], F.count("*").alias("n"))
-
+    event = F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed").otherwise("submit")
+    language = F.when(F.col("event_id") % 3 == 0, "ta").otherwise("en")
+    return jobs.submissions(_table(spark, d, "events").select(F.col("user_id").alias("document_id"), F.col("event_id").alias("seq"), event.alias("event"), language.alias("language")))
 
-@query("e16_distinct_types", "SELECT DISTINCT event_type FROM events")
-def _(spark, d):
-    return _table(spark, d, "events").select("event_type").dropDuplicates()

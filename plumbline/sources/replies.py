@@ -10,15 +10,16 @@ ANSWER = "answer string, not_found boolean, evidence array<struct<page:int,quote
 
 
 def json_text(reply: Column) -> Column:
-    """The JSON object of a reply: thoughts dropped, a fenced object first, else from the first brace to the last; null without one."""
+    """The JSON object of a reply: thoughts dropped, a fenced object first, else from the first brace before a name or a closing brace to the last brace; null without one."""
     bare = F.regexp_replace(F.coalesce(reply, F.lit("")), r"(?is)<think>.*?</think>", "")
     bare = F.regexp_replace(bare, r"(?is)<think>.*$", "")
     fenced = F.regexp_extract(bare, r"(?is)```(?:json)?\s*(\{.*?\})\s*```", 1)
-    outer = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
+    outer = F.regexp_extract(bare, r"(?s)\{(?=\s*[\"}]).*\}", 0)
     out = F.when(fenced != "", fenced).otherwise(outer)
     return F.when(out != "", out)
 
 
 def parsed(reply: Column, schema: str) -> Column:
     """The reply's object by schema; unknown fields go, a reply that does not parse is null."""
-    return F.from_json(json_text(reply), schema, {"mode": "PERMISSIVE"})
+    found = F.from_json(json_text(reply), f"{schema}, __bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"})
+    return F.when(found["__bad"].isNull(), found.dropFields("__bad"))

@@ -2,14 +2,16 @@
 
 import datetime
 import os
+import re
 
+import clause_queries
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
 from plumbline.functions import values as X
-from plumbline.operators import claims, context, coverage, findings, grounding, judgements, mutations, release
+from plumbline.operators import claims, context, coverage, findings, grounding, judgements, mutations, parties, release
 from plumbline.plans.queries import ORACLES, QUERIES
 from plumbline.sources import replies, sinks, uploads
 from plumbline.streaming import jobs
@@ -38,9 +40,11 @@ def _rows(frame, columns):
     return sorted(map(repr, (tuple(map(one, r)) for r in frame.itertuples(index=False, name=None))))
 
 
-@pytest.mark.parametrize("name", sorted(ORACLES))
+@pytest.mark.parametrize("name", [*sorted(ORACLES), *(f"{n} on clauses" for n in sorted(clause_queries.ORACLES))])
 def test_query_matches_sql(spark, duck, name):
-    got, want = QUERIES[name](spark, DATA).toPandas(), duck.sql(ORACLES[name]).df()
+    queries, oracles = (clause_queries.QUERIES, clause_queries.ORACLES) if name.endswith(" on clauses") else (QUERIES, ORACLES)
+    name = name.removesuffix(" on clauses")
+    got, want = queries[name](spark, DATA).toPandas(), duck.sql(oracles[name]).df()
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns
     assert _rows(got, columns) == _rows(want, columns)
@@ -189,3 +193,63 @@ def test_near_quotes_are_judged_in_their_context(spark):
     got = findings.with_evidence(spark.createDataFrame(rows, "document_id string, proposal_id int, claim string, page int, quote string, page_count int"), pages).orderBy("proposal_id").collect()
     assert [r.match for r in got] == ["near", "exact"] and "window" not in got[0].asDict()
     assert all(r.context == "the cover includes all sudden water damage to the insured building. this cover does not apply to floods." for r in got), got
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+def test_queries_without_sql_run(spark, name):
+    assert QUERIES[name](spark, DATA).count() >= 0
+
+
+def test_pages_out_of_range_have_no_context(spark):
+    pages = spark.createDataFrame([("d", 1, "processed", "The rent is due. It is 5 euros.")], "document_id string, page_number int, status string, text string")
+    rows = [("d", "a", "x", 9, "The rent is due.", 1), ("d", "b", "x", 1, "the rent is due.", 1), ("d", "c", "x", None, None, 1), ("e", "f", "x", 1, "the rent", 1)]
+    proposals = spark.createDataFrame(rows, "document_id string, proposal_id string, claim string, page int, quote string, page_count int")
+    got = {r.proposal_id: (r.status, r.reasons, r.context) for r in findings.with_evidence(proposals, pages).collect()}
+    assert got == {"a": ("rejected", ["invalid_page"], ""), "b": ("verified", [], "the rent is due."), "c": ("unverified", ["missing_evidence"], ""), "f": ("unverified", ["page_not_extracted"], "")}
+
+
+def test_documents_without_pages_fail(spark):
+    pages = spark.createDataFrame([(1, 1, "text", "processed", None)], "document_id long, page_number int, text string, status string, failure_reason string")
+    got = coverage.coverage(coverage.manifest(pages, spark.createDataFrame([(1,), (2,)], "document_id long")))
+    assert {(r.document_id, r.status, *r.blocking_reasons) for r in got.collect()} == {(1, "complete"), (2, "failed", "no_pages")}
+
+
+PARTIES = [
+    # claim, context, names, actor of the claim, actor of the context, issues about parties
+    ("The Buyer shall pay the Supplier.", "The Supplier shall pay the Buyer.", [], "buyer", "supplier", ["actor_role_reversed"]),
+    ("The Vendor shall deliver.", "The supplier shall deliver.", [], "supplier", "supplier", []),
+    ("The bank shall pay.", "The tenant shall pay.", [], "bank", "tenant", ["actor_not_in_evidence"]),
+    ("The goods shall be delivered by the Supplier to the Buyer.", "The Supplier shall deliver the goods to the Buyer.", [], "supplier", "supplier", []),
+    ("Northwind shall invoice the Customer.", "Northwind Ltd shall invoice the Customer.", ["northwind", "northwind ltd"], "northwind", "northwind ltd", []),
+    ("Castlight may audit the Customer.", "The Customer may audit Castlight.", ["castlight"], "castlight", "customer", ["actor_role_reversed"]),
+    ("Contractor Services Ltd shall report.", "Contractor Holdings Ltd shall report.", ["contractor services ltd", "contractor holdings ltd"], "contractor services ltd", "contractor holdings ltd", ["actor_role_reversed"]),
+    ("The report shall be prepared by Acme.io.", "Acme.io shall prepare the report.", ["acme.io"], "acme.io", "acme.io", []),
+    ("Payment is made by written agreement.", "A third party may pay.", [], None, None, []),
+    (None, "", [], None, None, []),
+]
+
+
+def test_parties_and_who_acts(spark):
+    rows = spark.createDataFrame([(k, c, e) for k, (c, e, *_) in enumerate(PARTIES)], "k int, claim string, context string")
+    names = F.array_union(parties.named(F.col("claim")), parties.named(F.col("context")))
+    seen = rows.withColumn("names", names).select("k", "names", parties.acting(F.col("claim"), F.col("names")).alias("a"), parties.acting(F.col("context"), F.col("names")).alias("b"))
+    checked = {r.k: [i for i in r.issues if i.startswith("actor")] for r in claims.check(rows).collect()}
+    for r in seen.collect():
+        _, _, found, a, b, issues = PARTIES[r.k]
+        assert (sorted(r.names), r.a, r.b, checked[r.k]) == (sorted(found), a, b, issues), PARTIES[r.k]
+
+
+def test_claims_meet_their_sentence(spark):
+    context = "The Supplier shall deliver the goods. The Buyer shall inspect the goods within 5 days."
+    rows = spark.createDataFrame([("The Buyer shall inspect the goods within 5 days.", context), ("zebra crossing", context), ("one", "Only one sentence.")], "claim string, context string")
+    got = [r.m for r in rows.select(claims.matching_sentence(F.col("claim"), F.col("context")).alias("m")).collect()]
+    assert got == ["The Buyer shall inspect the goods within 5 days.", context, "Only one sentence."]
+    answers = spark.createDataFrame([(1, "The Buyer shall inspect the goods within 5 days.", False)], "answer_id int, answer string, not_found boolean")
+    evidence = spark.createDataFrame([(1, 0, context, "verified")], "answer_id int, context_pos int, context string, status string")
+    assert [r.status for r in findings.gate(answers, evidence).collect()] == ["supported"]
+
+
+def test_replies_with_stray_braces(spark):
+    rows = spark.createDataFrame([('note {brace} then {"answer":"b","not_found":false}',), ("{broken",), ("no json",), ('{"answer": 1',)], "r string")
+    got = [r.x for r in rows.select(replies.parsed(F.col("r"), replies.ANSWER).alias("x")).collect()]
+    assert got[0].answer == "b" and got[1:] == [None, None, None]
