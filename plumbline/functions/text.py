@@ -98,7 +98,12 @@ def squash_ends(text: Column) -> Column:
 
 def claims(text: Column) -> Column:
     """Sentences of three words or more."""
-    return F.filter(sentences(text), lambda s: F.size(F.regexp_extract_all(F.lower(s), F.lit("[a-z]+"), F.lit(0))) >= 3)
+    return long_enough(sentences(text))
+
+
+def long_enough(found: Column) -> Column:
+    """Those of some sentences that have three words or more."""
+    return F.filter(found, lambda s: F.size(F.regexp_extract_all(F.lower(s), F.lit("[a-z]+"), F.lit(0))) >= 3)
 
 
 def numerals(text: Column) -> Column:

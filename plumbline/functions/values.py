@@ -11,6 +11,8 @@ or trailing zeros), so figures of any length compare exactly.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,6 +55,18 @@ def _masked(text: Column, pattern: str) -> Column:
     return F.regexp_replace(text, pattern, MARK)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _in_turn(text: Column, steps: list[tuple[str, Callable[[Column], Column]]]) -> Column:
+    """What each step makes of a pattern's matches, one after the other; later patterns see the text with earlier matches masked."""
+    (pattern, made), *later = steps
+    here = made(_found(text, pattern))
+    return F.concat(here, let(_masked(text, pattern), lambda rest: _in_turn(rest, later))) if later else here
+
+
 def value_key(figure: Column, continental: bool) -> Column:
     """Canonical digits of a figure as written."""
     plain = F.replace(F.replace(figure, F.lit("."), F.lit("")), F.lit(","), F.lit(".")) if continental else F.replace(figure, F.lit(","), F.lit(""))
@@ -108,14 +122,12 @@ def _tokens(kind: str, continental: bool, found: Column) -> Column:
 
 def numbers(text: Column, folded: bool = False) -> Column:
     """array of (kind, key, raw, unit, currency), by pattern and then by place; `folded` if the text is normalised already."""
-    rest = text if folded else normalize(text)
-    for _, pattern in DATES:
-        rest = _masked(rest, pattern)
-    parts = []
-    for kind, continental, pattern in NUMBERS:
-        parts.append(_tokens(kind, continental, _found(rest, pattern)))
-        rest = _masked(rest, pattern)
-    return F.concat(*parts)
+    steps = [(pattern, lambda found, k=kind, c=continental: _tokens(k, c, found)) for kind, continental, pattern in NUMBERS]
+
+    def without_dates(rest: Column, patterns: list[str]) -> Column:
+        return let(_masked(rest, patterns[0]), lambda r: without_dates(r, patterns[1:])) if patterns else _in_turn(rest, steps)
+
+    return let(text if folded else normalize(text), lambda t: without_dates(t, [pattern for _, pattern in DATES]))
 
 
 def _resolved(kind: str, raw: Column) -> tuple[Column, Column]:
@@ -151,12 +163,8 @@ def _dates(kind: str, found: Column) -> Column:
 
 def dates(text: Column, folded: bool = False) -> Column:
     """array of (raw, resolved, ambiguous), by pattern and then by place."""
-    rest = text if folded else normalize(text)
-    parts = []
-    for kind, pattern in DATES:
-        parts.append(_dates(kind, _found(rest, pattern)))
-        rest = _masked(rest, pattern)
-    return F.concat(*parts)
+    steps = [(pattern, lambda found, k=kind: _dates(k, found)) for kind, pattern in DATES]
+    return let(text if folded else normalize(text), lambda t: _in_turn(t, steps))
 
 
 def _matches(own: Column, other: Column) -> Column:

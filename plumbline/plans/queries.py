@@ -124,8 +124,9 @@ _MARKED = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
 @query("b13_sentences", rf"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split({_MARKED}, chr(1)), lambda x: trim(replace(x, chr(2), '.'), ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '') AS s FROM documents)
 SELECT doc_id, len(s) AS sentences, len(list_filter(s, lambda x: len(regexp_extract_all(lower(x), '[a-z]+')) >= 3)) AS claims, md5(array_to_string(s, chr(10))) AS digest FROM s""")
 def _(spark, d):
-    t = F.col("text")
-    return _table(spark, d, "documents").select("doc_id", F.size(T.sentences(t)).cast("long").alias("sentences"), F.size(T.claims(t)).cast("long").alias("claims"), F.md5(F.array_join(T.sentences(t), "\n").cast("binary")).alias("digest"))
+    s = F.col("s")
+    cut = _table(spark, d, "documents").select("doc_id", T.sentences(F.col("text")).alias("s"))
+    return cut.select("doc_id", F.size(s).cast("long").alias("sentences"), F.size(T.long_enough(s)).cast("long").alias("claims"), F.md5(F.array_join(s, "\n").cast("binary")).alias("digest"))
 
 
 @query("b47_numerals", r"SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '\d+(?:[.,]\d+)*'), lambda n: replace(n, ',', '')))), ' ') AS numerals FROM documents")
