@@ -73,16 +73,18 @@ def period(shared: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, doc_id: str = "doc_id", source: str = "source", block: int = BLOCK) -> DataFrame:
     """docs with mix_block (of its source, from 0), mix_slot and mix_place (in the block); slot and place give the order."""
     digest = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
-    rows = docs.withColumn("__digest", digest).withColumn("__part", F.substring("__digest", 1, PREFIX))
-    counts = docs.select(F.col(source).alias("source"), F.substring(digest, 1, PREFIX).alias("__part")).groupBy("source", "__part").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("source").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select(F.col("source").alias("__source"), F.col("__part").alias("__of"), F.coalesce(before, F.lit(0)).alias("__before"))
+    # a key without nulls, so that numbering and the join with the offsets share one shuffle of the rows
+    named = F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n")).alias("__key")
+    rows = docs.withColumn("__digest", digest).withColumn("__part", F.substring("__digest", 1, PREFIX)).withColumn("__key", named)
+    counts = docs.select(F.col(source).alias("source"), named, F.substring(digest, 1, PREFIX).alias("__part")).groupBy("source", "__key", "__part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("__key").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("__key", "__part", F.coalesce(before, F.lit(0)).alias("__before"))
     slots = period(shares(counts.groupBy("source").agg(F.sum("n").alias("rows")), weights))
     slots = slots.select(F.col("source").alias("__name"), F.col("turn").alias("__turn"), F.col("slot").alias("__slot"), F.col("share").alias("__share"), F.col("slots").alias("__slots"))
     shared = slots.select(F.col("__name").alias("__owner"), F.col("__share").alias("__n")).distinct()
 
-    numbered = rows.withColumn("__row", F.row_number().over(Window.partitionBy(source, "__part").orderBy("__digest", doc_id)) - 1)
-    numbered = numbered.join(offsets, F.col(source).eqNullSafe(F.col("__source")) & (F.col("__part") == F.col("__of")))
+    numbered = rows.withColumn("__row", F.row_number().over(Window.partitionBy("__key", "__part").orderBy("__digest", doc_id)) - 1)
+    numbered = numbered.join(offsets, ["__key", "__part"])
     at = F.col("__before") + F.col("__row")
     numbered = numbered.withColumn("mix_block", F.floor(at / block)).withColumn("mix_place", (at % block).cast("int"))
     # one row for each source, and one for each slot of a period: bounded by PERIOD and the number of sources
