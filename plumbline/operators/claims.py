@@ -27,24 +27,14 @@ def restates_negated_part(claim: Column, context: Column, window: int = 4) -> Co
     return (F.size(own) > 0) & (hit | (T.has_any(context, V.PROHIBITIONS) & (T.overlap(claim, context) >= V.SAME)))
 
 
-def issues(claim: Column, context: Column, host: Column | None = None, carve_out: Column | None = None) -> Column:
+def issues(claim: Column, context: Column, host: Column, carve_out: Column, either: Column, values: Column, present: Column, reversed_: Column) -> Column:
     """The issues of a claim in the order of the decision table.
 
-    host and carve_out are the context's clause and the sentences that cut it down, if it was split.
+    host and carve_out are the context's clause and the sentences that cut it down, if it was split; either is the overlap
+    of claim and context; the others say whether a value is not in the context, all parties are, and the actors differ.
     """
-    host = context if host is None else host
-    carve_out = F.lit("") if carve_out is None else carve_out
-    either = T.overlap(claim, context)
-    source = F.regexp_replace(claim, "(?i)" + V.CROSS_REFERENCE, " ")
-    values = X.compare(X.numbers(source), X.dates(source), X.numbers(context), X.dates(context))["result"] != "match"
     own_negative, negative = T.is_negative(claim), T.is_negative(host)
     own_mode, mode = T.modality(claim), T.modality(context)
-    # a reversal puts each name before a verb on one side only, so the names of both are looked for in both
-    names = F.array_union(parties.named(claim), parties.named(context))
-    own_parties = parties.parties(claim, names)
-    present = parties.covered(own_parties, parties.parties(context, names))
-    reversed_ = ~parties.same(parties.acting(claim, names), parties.acting(context, names))
-
     def dropped(phrases) -> Column:
         return T.has_any(context, phrases) & ~T.has_any(claim, phrases)
 
@@ -75,13 +65,28 @@ def issues(claim: Column, context: Column, host: Column | None = None, carve_out
     return F.array_compact(F.array(*[F.when(test, name) for name, test in listed]))
 
 
+_STAGED = ("__s", "__host", "__carve", "__either", "__own", "__cn", "__cd", "__asked", "__sn", "__sd", "__names", "__p", "__q", "__a", "__b")
+
+
 def check(rows: DataFrame) -> DataFrame:
     """rows(claim, context, …) with issues and status: supported, contradicted or unsupported."""
     host, carve_out = host_and_carve_out(F.col("__s"))
-    found = rows.withColumn("__s", T.sentences(F.col("context"))).withColumn("__host", host).withColumn("__carve", carve_out)
-    found = found.withColumn("issues", issues(F.col("claim"), F.col("context"), F.col("__host"), F.col("__carve"))).drop("__s", "__host", "__carve")
-    against = F.arrays_overlap("issues", F.array(*map(F.lit, V.CONTRADICTIONS))) & (T.overlap(F.col("claim"), F.col("context")) >= V.SAME)
-    return found.withColumn("status", F.when(F.size("issues") == 0, "supported").when(against, "contradicted").otherwise("unsupported"))
+    claim, context, names = F.col("claim"), F.col("context"), F.col("__names")
+    # as columns of their own, these are computed once a row and not once a mention
+    found = rows.withColumn("__s", T.sentences(context)).withColumns({"__host": host, "__carve": carve_out, "__either": T.overlap(claim, context)})
+    found = found.withColumn("__own", F.regexp_replace(claim, "(?i)" + V.CROSS_REFERENCE, " "))
+    found = found.withColumns({"__cn": X.numbers(F.col("__own")), "__cd": X.dates(F.col("__own"))})
+    asked = F.when((F.size("__cn") > 0) | (F.size("__cd") > 0), context).otherwise("")
+    found = found.withColumn("__asked", asked).withColumns({"__sn": X.numbers(F.col("__asked")), "__sd": X.dates(F.col("__asked"))})
+    # a reversal puts each name before a verb on one side only, so the names of both are looked for in both
+    found = found.withColumn("__names", F.array_union(parties.named(claim), parties.named(context)))
+    found = found.withColumns({"__p": parties.parties(claim, names), "__q": parties.parties(context, names), "__a": parties.acting(claim, names), "__b": parties.acting(context, names)})
+    present = parties.covered(F.col("__p"), F.col("__q"))
+    values = X.compare(*(F.col(c) for c in ("__cn", "__cd", "__sn", "__sd")))["result"] != "match"
+    listed = issues(claim, context, F.col("__host"), F.col("__carve"), F.col("__either"), values, present, ~parties.same(F.col("__a"), F.col("__b")))
+    found = found.withColumn("issues", listed)
+    against = F.arrays_overlap("issues", F.array(*map(F.lit, V.CONTRADICTIONS))) & (F.col("__either") >= V.SAME)
+    return found.withColumn("status", F.when(F.size("issues") == 0, "supported").when(against, "contradicted").otherwise("unsupported")).drop(*_STAGED)
 
 
 def matching_sentence(claim: Column, context: Column) -> Column:
