@@ -228,6 +228,10 @@ def _triples(t: np.ndarray, rank: np.ndarray, *parts: np.ndarray) -> list[np.nda
     return np.split(_key(t[at], t[at + 1], rank[at + 2]), np.cumsum([len(p) for p in parts])[:-1])
 
 
+def _marks(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in parts]).astype(np.int64)) for k in range(3)], names=["doc_id", "start", "stop"])
+
+
 def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorts the suffixes of whole groups and marks every string that an earlier one equals."""
     for table in _runs(batches, "key", CHUNK // 128):
@@ -243,6 +247,12 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = order[same]
         out = [(docs[late], starts[late], starts[late] + size[late])]
         own = np.sort(order[~same])
+        # strings within one stretch have one anchor at different distances, so none equals another: groups of one are done
+        _, group, members = np.unique(keys[own], return_inverse=True, return_counts=True)
+        own = own[members[group] > 1]
+        if not len(own):
+            yield _marks(out)
+            continue
         values = data.take(pa.array(own))
         cut = np.cumsum(size[own] + 1)
         s = np.zeros(int(cut[-1]), np.int64)
@@ -281,7 +291,7 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = np.flatnonzero(new)
             last = np.append(first[1:], len(doc)) - 1
             out.append((doc[first], start[first], start[last] + LENGTH))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in out]).astype(np.int64)) for k in range(3)], names=["doc_id", "start", "stop"])
+        yield _marks(out)
     pa.default_memory_pool().release_unused()  # workers live on between tasks
 
 
