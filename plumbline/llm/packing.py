@@ -51,7 +51,7 @@ _SEPARATOR, _SEPARATOR_ID = "<|endoftext|>", 49407
 class WordTokens:
     """Token ids of words, kept sorted by the words' hashes."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
