@@ -217,7 +217,7 @@ def learn(docs: DataFrame, pieces: list[str], text: str = "text", lang: str = "l
             for t, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if name is not None:
                     seen.setdefault(name, Counter()).update(_words(t))
-            if sum(map(len, seen.values())) > 150_000:
+            if sum(map(len, seen.values())) > 300_000:
                 flush()
         flush()
         for name, got in found.items():
@@ -240,7 +240,7 @@ def learn(docs: DataFrame, pieces: list[str], text: str = "text", lang: str = "l
 class Predictor:
     """Scores texts; remembers the words it has scored."""
 
-    def __init__(self, pieces: list[str], languages: list[str], model: np.ndarray, most: int = 150_000):
+    def __init__(self, pieces: list[str], languages: list[str], model: np.ndarray, most: int = 300_000):
         self.lattice, self.names, self.model, self.most = Lattice(pieces), languages, model, most
         self.known: dict[str, int] = {}
         self.scores = np.zeros((0, len(languages)))
