@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, fingerprint, html_extract, jaccard_join, language_id, mixing, packing, pii, quality, suffix_dedup
+from . import ann, ball_tree, fingerprint, html_extract, jaccard_join, language_id, line_rules, mixing, packing, pii, product_codes, quality, suffix_dedup
 from .shared import held_out, table
 
 
@@ -76,6 +76,21 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def op11_ball_tree_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster and squared distance of every vector after ten rounds from eight centroids."""
+    return ball_tree.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of every document, what its bad lines cost it, and whether it is kept."""
+    return line_rules.clean(table(spark, sf_dir, "documents")).drop("by_punctuation", "by_navigation", "by_boilerplate", "clean_text")
+
+
+def op13_product_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four-byte code and error of every vector after four rounds."""
+    return product_codes.encode(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_crf": op1_quality_crf,
     "op2_ann": op2_ann,
@@ -87,10 +102,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_ball_tree_clusters": op11_ball_tree_clusters,
+    "op12_quality_rules": op12_quality_rules,
+    "op13_product_codes": op13_product_codes,
 }
 
 ORACLES: dict[str, str] = {
     "op9_suffix_dedup": suffix_dedup.ORACLE_SQL,
     "op6_mixing": mixing.ORACLE_SQL,
     "op10_jaccard_join": jaccard_join.ORACLE_SQL,
+    "op11_ball_tree_clusters": ball_tree.ORACLE_SQL,
+    "op12_quality_rules": line_rules.ORACLE_SQL,
+    "op13_product_codes": product_codes.ORACLE_SQL,
 }
