@@ -4,7 +4,7 @@ Each line of words is judged by itself, in the order navigation, punctuation, bo
 
 * navigation: separators (`|`, `»`, ...) standing alone, two or more and at least one in five
   words; or a line of at most MENU_WORDS words that are all words of menus.
-* punctuation: no mark of a sentence's end at the line's end; or marks that pile up (`!!`, `?!`)
+* punctuation: no mark of a sentence's end at the line's end and fewer than two at its words; or marks that pile up (`!!`, `?!`)
   at two or more of its words and at least three in ten; or symbols in three in ten words.
 * boilerplate: one of the fixed phrases (licences, rights, cookies, forms) in a line of at most
   NOTICE_WORDS words.
@@ -70,7 +70,7 @@ def failed(line: str) -> str | None:
     words = _WORD.findall(line)
     n = len(words)
     apart = sum(w in _SEPARATORS for w in words)
-    ended = _ENDED.search(words[-1])
+    ended = _ENDED.search(words[-1]) or sum(_ENDED.search(w) is not None for w in words) > 1
     piled = sum(_PILED.search(w) is not None for w in words)
     signs = sum(_SYMBOL.search(w) is not None and w not in _SEPARATORS for w in words)
     if n <= MENU_WORDS and all(w in _SEPARATORS or _EDGES.sub("", w).lower() in _MENU for w in words) or apart >= 2 and 5 * apart >= n:
@@ -190,7 +190,7 @@ def _list(values) -> str:
 _W = f"regexp_extract_all({{}}, {_lit(f'[^{SPACE}]+')})"
 _N, _AT = "len(w)", "len(list_filter(w, lambda x: {}))"
 _APART = _AT.format(f"list_contains({_list(SEPARATORS)}, x)")
-_IS_ENDED = f"regexp_matches(w[-1], {_lit(ENDED)})"
+_IS_ENDED = f"(regexp_matches(w[-1], {_lit(ENDED)}) OR " + _AT.format(f"regexp_matches(x, {_lit(ENDED)})") + " > 1)"
 _PILES = _AT.format(f"regexp_matches(x, {_lit(PILED)})")
 _SIGNS = _AT.format(f"regexp_matches(x, {_lit(f'[{SYMBOLS}]')}) AND NOT list_contains({_list(SEPARATORS)}, x)")
 _IN_MENU = f"""{_N} <= {MENU_WORDS} AND {_AT.format(f"NOT list_contains({_list(SEPARATORS)}, x) AND NOT list_contains({_list(MENU)}, lower(regexp_replace(x, '^[^_{chr(92)}pL{chr(92)}pN]+|[^_{chr(92)}pL{chr(92)}pN]+$', '', 'g')))")} = 0"""
