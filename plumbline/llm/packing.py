@@ -6,11 +6,12 @@ in units of UNIT tokens, rounded up, so the histogram of at most LENGTH / UNIT s
 that reaches the driver, whatever the corpus, and rounding costs UNIT / 2 tokens a piece on
 average.
 
-The solver is Gilmore and Gomory's: a linear program chooses how often to use each pattern
-of sizes; knapsack dynamic programming over its dual prices finds the next pattern worth
-adding, until none could save more than a share GAP of all bins; then counts are rounded
-down, and what is left over, less than one bin a pattern, is filled by first-fit decreasing
-into patterns used once.
+The solver is Gilmore and Gomory's and runs in one task: a linear program chooses how often
+to use each pattern of sizes, from first-fit patterns on; knapsack dynamic programming over
+its dual prices finds the next pattern worth adding, until none could save more than a share
+GAP of all bins, or PIVOTS steps a size are done; then counts are rounded down, and what is
+left over, less than one bin a pattern, is filled by first-fit decreasing into patterns used
+once.
 
 Pieces are ranked within their size by counts of size and id bucket, and rank decides
 pattern, copy and place by arithmetic against the small pattern table.
@@ -39,12 +40,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import arrays
-from .shared import materialise
+from .shared import discard, materialise
 
 #: Tokens of a sequence; tokens of a unit; end id; buckets for ranking; rounds of the patterns where rows have an order.
 LENGTH, UNIT, END, BUCKETS, ROUNDS = 4096, 8, 2, 512, 16
-#: Share of the bins that a further pattern must be able to save; steps after which the basis is inverted anew.
-GAP, RENEW = 3e-4, 64
+#: Share of the bins that a further pattern must be able to save; steps after which the basis is inverted anew; steps a size at most.
+GAP, RENEW, PIVOTS = 3e-4, 64, 8
 _SEPARATOR, _SEPARATOR_ID = "<|endoftext|>", 49407
 
 
@@ -172,22 +173,47 @@ def price(values: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray:
     return pattern
 
 
+def first_patterns(need: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """A basis to start from, a column a pattern: bins filled with the largest sizes first, each pattern used until one of its sizes is done.
+
+    A pattern holds no size that is done before, so ordered that way the basis is triangular: it is regular, and its uses are not negative.
+    """
+    left, open_sizes = need.astype(float), np.ones(len(sizes), bool)
+    basis = np.zeros((len(sizes), len(sizes)))
+    for step in range(len(sizes)):
+        room = capacity
+        for k in np.flatnonzero(open_sizes)[::-1]:
+            basis[k, step] = room // sizes[k]
+            room -= int(basis[k, step]) * int(sizes[k])
+        part = basis[:, step] > 0
+        uses = np.where(part, left / np.where(part, basis[:, step], 1), np.inf)
+        done = int(uses.argmin())
+        left = np.maximum(left - uses[done] * basis[:, step], 0)
+        open_sizes[done] = False
+    return basis
+
+
 def cutting_stock(demand: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
-    """(uses, {size: items a bin}) so that every size occurs exactly as often as asked for."""
+    """(uses, {size: items a bin}) so that every size occurs exactly as often as asked for.
+
+    The program ends after PIVOTS steps a size at the latest, as it may stand still where several bases give the same use; the
+    basis that it then has is as whole as any other, if perhaps with a few more bins.
+    """
     sizes = np.array(sorted(s for s, n in demand.items() if n > 0), np.int64)
     if not len(sizes):
         return []
     need = np.array([demand[int(s)] for s in sizes], np.int64)
-    basis = np.diag(capacity // sizes).astype(float)
-    step = 0
-    while True:
+    basis = first_patterns(need, sizes, capacity)
+    for step in range(PIVOTS * len(sizes)):
         if step % RENEW == 0:  # else rounding errors add up
             inverse = np.linalg.inv(basis)
-        use = inverse @ need
+        use = inverse @ need.astype(float)
+        # no further pattern can bring the number of bins below its (1 + GAP)-th part, or none below what the items fill
+        if use.sum() <= (1 + GAP) * (need @ sizes) / capacity:
+            break
         duals = inverse.sum(axis=0)
         column = price(duals, sizes, capacity)
-        # no pattern can bring the number of bins below its (1 + GAP)-th part, or none below what the items fill
-        if duals @ column <= 1 + GAP or use.sum() <= (1 + GAP) * (need @ sizes) / capacity:
+        if duals @ column <= 1 + GAP:
             break
         way = inverse @ column
         ratios = np.where(way > 1e-9, np.maximum(use, 0) / np.where(way > 1e-9, way, 1), np.inf)
@@ -196,7 +222,7 @@ def cutting_stock(demand: dict[int, int], capacity: int) -> list[tuple[int, dict
         row = inverse[out] / way[out]
         inverse -= np.outer(way, row)
         inverse[out] = row
-        step += 1
+    use = np.maximum(np.linalg.inv(basis) @ need.astype(float), 0)
     left, out = need.copy(), []
     for k in np.argsort(-use):
         pattern = np.rint(basis[:, k]).astype(np.int64)
@@ -216,6 +242,18 @@ def cutting_stock(demand: dict[int, int], capacity: int) -> list[tuple[int, dict
     return [(n, {int(s): int(a) for s, a in zip(sizes, p, strict=True) if a}) for n, p in out]
 
 
+def solved(demand: DataFrame, capacity: int) -> list[tuple[int, dict[int, int]]]:
+    """cutting_stock() of a table of size and n, a row a size. It runs in a task: workers use one thread for linear algebra."""
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan = cutting_stock({r["size"]: r["n"] for batch in batches for r in batch.to_pylist()}, capacity)
+        lists = [pa.array([list(part(p)) for _, p in plan], pa.list_(pa.int64())) for part in (dict.keys, dict.values)]
+        yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in plan], pa.int64()), *lists], names=["uses", "sizes", "items"])
+
+    rows = demand.select(F.col("size").cast("long").alias("size"), "n").coalesce(1).mapInArrow(solve, "uses long, sizes array<long>, items array<long>").collect()
+    return [(r["uses"], dict(zip(r["sizes"], r["items"], strict=True))) for r in rows]  # some patterns a size
+
+
 def _table(spark, plan: list[tuple[int, dict[int, int]]], base: int) -> DataFrame:
     """size, ranks [lo, hi), items a bin, first bin and place of the size in the bin; a few rows for each size."""
     rows, used = [], {}
@@ -275,9 +313,10 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
     counts = materialise(cut.groupBy("size", "bucket").agg(F.count("*").alias("n")), "counts")
     before = F.sum("n").over(Window.partitionBy("size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select("size", "bucket", F.coalesce(before, F.lit(0)).alias("before"))
-    demand = {r["size"]: r["n"] for r in counts.groupBy("size").agg(F.sum("n").alias("n")).collect()}  # LENGTH / UNIT rows at most
-    whole = demand.pop(LENGTH // UNIT, 0)
-    plan = cutting_stock(demand, LENGTH // UNIT)
+    demand = materialise(counts.groupBy("size").agg(F.sum("n").alias("n")), "demand")  # LENGTH / UNIT rows at most
+    whole = demand.where(F.col("size") == LENGTH // UNIT).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    plan = solved(demand.where(F.col("size") < LENGTH // UNIT), LENGTH // UNIT)
+    discard(demand)
 
     row = F.row_number().over(Window.partitionBy("size", "bucket").orderBy("order", "doc_id", "start")) - 1
     ranked = cut.withColumn("row", row).join(offsets, ["size", "bucket"]).withColumn("rank", F.col("row") + F.col("before")).drop("row", "before", "bucket")

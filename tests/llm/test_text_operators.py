@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -178,6 +179,33 @@ def test_cutting_stock_meets_demand_with_few_bins(capacity):
     assert sum(t for t, _ in plan) <= least * 1.02 + capacity
 
 
+def test_many_sizes_end_soon(spark):
+    rng = np.random.default_rng(9)
+    for demand in ({s: int(rng.integers(1, 400)) for s in range(1, 512)}, {s: 1 + 3000 // s for s in range(1, 512)}, {s: int(rng.integers(1, 10**6)) for s in range(140, 300)}):
+        began = time.time()
+        plan = packing.solved(spark.createDataFrame(list(demand.items()), "size long, n long").repartition(3), 512)
+        assert time.time() - began < 30
+        made = {}
+        for times, pattern in plan:
+            assert sum(s * n for s, n in pattern.items()) <= 512
+            for s, n in pattern.items():
+                made[s] = made.get(s, 0) + times * n
+        assert made == demand
+        assert sum(n for n, _ in plan) < 1.02 * sum(s * n for s, n in demand.items()) / 512
+    assert packing.solved(spark.createDataFrame([], "size long, n long"), 512) == []
+
+
+@pytest.mark.parametrize("pivots", [0, 1])
+def test_packing_ends_after_few_steps(monkeypatch, pivots):
+    monkeypatch.setattr(packing, "PIVOTS", pivots)
+    demand = {s: 3 * s for s in range(1, 64)}
+    made = {}
+    for times, pattern in packing.cutting_stock(demand, 64):
+        for s, n in pattern.items():
+            made[s] = made.get(s, 0) + times * n
+    assert made == demand
+
+
 def test_packing_is_an_exact_partition(spark):
     tokenizer = vocabulary("word_bpe_49k.json")
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(10**6, None), (10**6 + 1, "a<|endoftext|>b c"), (10**6 + 2, "")], "doc_id long, text string"))
