@@ -13,6 +13,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import vocabulary as V
+from .constants import listed, looked_up, one_of
+
+
+def composed(text: Column) -> Column:
+    """Canonical composition (NFC), by the Unicode library that Spark carries; texts without any character that it may change stay untouched.
+
+    Spark takes a call of a static method as not deterministic, so it is for a column of its own, not for join conditions.
+    """
+    called = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(text, F.lit("")), F.lit(False))
+    return F.when(text.rlike(V.MAY_COMPOSE), called).otherwise(text)
 
 
 def normalize(text: Column, fold_case: bool = True) -> Column:
@@ -58,12 +68,11 @@ def words(text: Column) -> Column:
 
 def content_words(text: Column) -> Column:
     """Distinct words of three letters or more that are no stopwords."""
-    stop = F.array(*map(F.lit, V.STOPWORDS))
-    return F.filter(F.array_except(F.array_distinct(words(text)), stop), lambda w: F.length(w) > 2)
+    return F.filter(F.array_except(words(text), listed(V.STOPWORDS)), lambda w: F.length(w) > 2)
 
 
 def negation_count(text: Column) -> Column:
-    return F.size(F.filter(words(text), lambda w: w.isin(*V.NEGATIONS)))
+    return F.size(F.filter(words(text), lambda w: one_of(w, V.NEGATIONS)))
 
 
 def is_negative(text: Column) -> Column:
@@ -118,7 +127,7 @@ def topic(label: Column) -> Column:
     out = F.lit(None).cast("string")
     for phrase, name in reversed(V.TOPIC_PHRASES):
         out = F.when(F.concat(F.lit(" "), found, F.lit(" ")).contains(f" {phrase} "), name).otherwise(out)
-    table = F.create_map(*[F.lit(x) for name, keys in V.TOPICS.items() for key in keys for x in (key, name)])
+    table = looked_up({key: name for name, keys in V.TOPICS.items() for key in keys})
     first = F.get(F.filter(F.transform(F.split(found, " "), lambda w: F.try_element_at(table, w)), lambda t: t.isNotNull()), F.lit(0))
     return F.coalesce(out, first, F.lit("other"))
 

@@ -2,8 +2,9 @@
 
 A span of text counts once, for the first pattern that claims it, in a fixed order: dates,
 then continental and plain currency amounts, percentages, periods in figures and in words,
-and what numbers remain. Each pattern runs over what the earlier ones left: claimed spans
-are blanked by a mark that no pattern can match.
+and what numbers remain. Each pattern reads the whole text, and a match that overlaps a span
+claimed before is dropped as a whole, so values that touch are told apart as they stand. Places
+follow from the lengths of what stands between the matches.
 
 Values are compared by `key`, the canonical digits of the number (no grouping, no leading
 or trailing zeros), so figures of any length compare exactly.
@@ -17,6 +18,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import vocabulary as V
+from .constants import looked_up
 from .text import normalize
 
 MARK = "\u0002"
@@ -47,24 +49,45 @@ NUMBERS = (
 )
 
 
-def _found(text: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _masked(text: Column, pattern: str) -> Column:
-    return F.regexp_replace(text, pattern, MARK)
+#: Types of the arrays: spans, values, dates.
+_NUMBER = "array<struct<kind:string,key:string,raw:string,unit:string,currency:string>>"
+_DATE = "array<struct<raw:string,resolved:date,ambiguous:boolean>>"
+_SPAN = "array<struct<raw:string,at:int,end:int>>"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is computed once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def _spans(text: Column, pattern: str) -> Column:
+    """Matches of a pattern with their places. The gaps are cut at a mark, for a split by the pattern itself would compile it for every text."""
+    gaps = F.split(F.regexp_replace(text, pattern, MARK), MARK)
+    zipped = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("raw"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        at = s["at"] + F.length(x["gap"])
+        end = at + F.length(x["raw"])
+        return F.struct(F.coalesce(end, at).alias("at"), F.when(x["raw"].isNull(), s["out"]).otherwise(F.array_append(s["out"], F.struct(x["raw"].alias("raw"), at.alias("at"), end.alias("end")))).alias("out"))
+
+    return F.when(text.rlike(pattern), F.aggregate(zipped, start, step, lambda s: s["out"])).otherwise(F.array().cast(_SPAN))
+
 
+def _free(spans: Column, taken: Column) -> Column:
+    """The spans that overlap none of those taken."""
+    return F.filter(spans, lambda s: ~F.exists(taken, lambda t: (s["at"] < t["end"]) & (t["at"] < s["end"])))
 
-def _in_turn(text: Column, steps: list[tuple[str, Callable[[Column], Column]]]) -> Column:
-    """What each step makes of a pattern's matches, one after the other; later patterns see the text with earlier matches masked."""
+
+def _claimed(text: Column, steps: list[tuple[str, Callable[[Column], Column]]], taken: Column) -> Column:
+    """What each step makes of its pattern's matches that overlap no span taken before; each adds its own to those."""
     (pattern, made), *later = steps
-    here = made(_found(text, pattern))
-    return F.concat(here, let(_masked(text, pattern), lambda rest: _in_turn(rest, later))) if later else here
+
+    def go(own: Column) -> Column:
+        here = made(F.transform(own, lambda s: s["raw"]))
+        return F.concat(here, let(F.concat(taken, own), lambda both: _claimed(text, later, both))) if later else here
+
+    return let(_free(_spans(text, pattern), taken), go)
 
 
 def value_key(figure: Column, continental: bool) -> Column:
@@ -82,7 +105,7 @@ def _unit(raw: Column) -> Column:
 def _currency(raw: Column) -> Column:
     token = F.regexp_replace(F.regexp_replace(raw, r"[\d,.]+$|^[\d,.]+", ""), r"\s+", "")
     token = F.regexp_replace(token, r"\.$", "")
-    table = F.create_map(*[F.lit(x) for pair in V.CURRENCIES.items() for x in pair])
+    table = looked_up(V.CURRENCIES)
     return F.try_element_at(table, token)
 
 
@@ -108,7 +131,7 @@ def _tokens(kind: str, continental: bool, found: Column) -> Column:
     if kind != "word_duration":
         return F.transform(found, one)
 
-    table = F.create_map(*[F.lit(x) for w, k in V.cardinals().items() for x in (w, str(k))])
+    table = looked_up({w: str(k) for w, k in V.cardinals().items()})
 
     def both(raw: Column) -> Column:
         word = F.try_element_at(table, F.regexp_extract(raw, rf"^({_CARDINAL})\b", 1))
@@ -124,10 +147,25 @@ def numbers(text: Column, folded: bool = False) -> Column:
     """array of (kind, key, raw, unit, currency), by pattern and then by place; `folded` if the text is normalised already."""
     steps = [(pattern, lambda found, k=kind, c=continental: _tokens(k, c, found)) for kind, continental, pattern in NUMBERS]
 
-    def without_dates(rest: Column, patterns: list[str]) -> Column:
-        return let(_masked(rest, patterns[0]), lambda r: without_dates(r, patterns[1:])) if patterns else _in_turn(rest, steps)
+    return let(_readable(text, folded), lambda t: F.when(_may_hold(t), let(_date_spans(t), lambda taken: _claimed(t, steps, taken))).otherwise(F.array().cast(_NUMBER)))
+
+
+def _readable(text: Column, folded: bool) -> Column:
+    """The text folded, with the mark that this module uses out of the way."""
+    return F.translate(text if folded else normalize(text), MARK, " ")
+
+
+def _may_hold(text: Column) -> Column:
+    """Whether a text can hold a value at all: it has a digit, or a unit of time."""
+    return text.rlike(r"\d|(?:day|week|month|year|hour)")
+
+
+def _date_spans(text: Column) -> Column:
+    def add(taken: Column, patterns: list[str]) -> Column:
+        return let(F.concat(taken, _free(_spans(text, patterns[0]), taken)), lambda both: add(both, patterns[1:])) if patterns else taken
 
-    return let(text if folded else normalize(text), lambda t: without_dates(t, [pattern for _, pattern in DATES]))
+    out = add(F.array().cast(_SPAN), [pattern for _, pattern in DATES])
+    return F.when(text.rlike(r"\d"), out).otherwise(F.array().cast(_SPAN))
 
 
 def _resolved(kind: str, raw: Column) -> tuple[Column, Column]:
@@ -141,7 +179,7 @@ def _resolved(kind: str, raw: Column) -> tuple[Column, Column]:
         out = date(parts[0], parts[1], parts[2])
         return out, out.isNull()
     if kind != "numeric":
-        table = F.create_map(*[F.lit(x) for m, k in V.months().items() for x in (m, str(k))])
+        table = looked_up({m: str(k) for m, k in V.months().items()})
         month = F.try_element_at(table, F.regexp_extract(raw, rf"({_MONTH})", 1))
         out = date(parts[1], month, parts[0])
         return out, out.isNull()
@@ -164,7 +202,8 @@ def _dates(kind: str, found: Column) -> Column:
 def dates(text: Column, folded: bool = False) -> Column:
     """array of (raw, resolved, ambiguous), by pattern and then by place."""
     steps = [(pattern, lambda found, k=kind: _dates(k, found)) for kind, pattern in DATES]
-    return let(text if folded else normalize(text), lambda t: _in_turn(t, steps))
+    none = F.array().cast(_SPAN)
+    return let(_readable(text, folded), lambda t: F.when(t.rlike(r"\d"), _claimed(t, steps, none)).otherwise(F.array().cast(_DATE)))
 
 
 def _matches(own: Column, other: Column) -> Column:

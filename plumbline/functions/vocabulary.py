@@ -110,6 +110,9 @@ LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl",
 PUNCTUATION = {"‘": "'", "’": "'", "‚": "'", "‛": "'", "“": '"', "”": '"', "„": '"', "′": "'", "″": '"', "–": "-", "—": "-", "―": "-", "−": "-", "…": "..."}
 ZERO_WIDTH = "​‌‍﻿­"
 
+#: A text without characters from U+0300 on is composed already.
+MAY_COMPOSE = r"[^\x00-\u02FF]"
+
 CURRENCIES = {"₹": "INR", "rs": "INR", "rs.": "INR", "inr": "INR", "rupees": "INR", "$": "USD", "us$": "USD", "usd": "USD", "€": "EUR", "eur": "EUR", "£": "GBP", "gbp": "GBP"}
 UNITS = ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
 TEENS = ("ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen")

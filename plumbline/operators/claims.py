@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import values as X
 from ..functions import vocabulary as V
+from ..functions.constants import listed, one_of
 from . import parties
 from .context import carried, host_and_carve_out, units
 
@@ -19,9 +20,9 @@ def restates_negated_part(claim: Column, context: Column, window: int = 4) -> Co
     def near(w: Column, k: Column) -> Column:
         start = F.greatest(k - window, F.lit(0))
         around = F.slice(found, start + 1, k + window + 1 - start)
-        kept = F.filter(around, lambda x: ~x.isin(*V.STOPWORDS, *V.NEGATIONS) & (F.length(x) > 2))
+        kept = F.filter(around, lambda x: ~one_of(x, V.STOPWORDS, V.NEGATIONS) & (F.length(x) > 2))
         shared = F.size(F.filter(kept, lambda x: F.array_contains(own, x)))
-        return w.isin(*V.NEGATIONS) & (F.size(kept) > 0) & (shared * 2 >= F.size(kept))
+        return one_of(w, V.NEGATIONS) & (F.size(kept) > 0) & (shared * 2 >= F.size(kept))
 
     hit = F.exists(F.transform(found, near), lambda x: x)
     return (F.size(own) > 0) & (hit | (T.has_any(context, V.PROHIBITIONS) & (T.overlap(claim, context) >= V.SAME)))
@@ -43,7 +44,7 @@ def issues(claim: Column, context: Column, host: Column, carve_out: Column, eith
 
     b, a = T.has_any(claim, V.BEFORE), T.has_any(claim, V.AFTER)
     cb, ca = T.has_any(context, V.BEFORE), T.has_any(context, V.AFTER)
-    listed = [
+    rules = [
         ("not_established_by_evidence", either < V.ESTABLISHED),
         ("value_not_in_evidence", values),
         ("carve_out_dropped", (carve_out != "") & ~carried(claim, host, carve_out)),
@@ -62,7 +63,7 @@ def issues(claim: Column, context: Column, host: Column, carve_out: Column, eith
         ("time_limit_removed", added(V.INDEFINITE)),
         ("evidence_only_references", T.has_any(context, V.REFERENCES) & (either < V.SAME)),
     ]
-    return F.array_compact(F.array(*[F.when(test, name) for name, test in listed]))
+    return F.array_compact(F.array(*[F.when(test, name) for name, test in rules]))
 
 
 _STAGED = ("__s", "__host", "__carve", "__either", "__own", "__cn", "__cd", "__asked", "__sn", "__sd", "__names", "__p", "__q", "__a", "__b")
@@ -83,9 +84,9 @@ def check(rows: DataFrame) -> DataFrame:
     found = found.withColumns({"__p": parties.parties(claim, names), "__q": parties.parties(context, names), "__a": parties.acting(claim, names), "__b": parties.acting(context, names)})
     present = parties.covered(F.col("__p"), F.col("__q"))
     values = X.compare(*(F.col(c) for c in ("__cn", "__cd", "__sn", "__sd")))["result"] != "match"
-    listed = issues(claim, context, F.col("__host"), F.col("__carve"), F.col("__either"), values, present, ~parties.same(F.col("__a"), F.col("__b")))
-    found = found.withColumn("issues", listed)
-    against = F.arrays_overlap("issues", F.array(*map(F.lit, V.CONTRADICTIONS))) & (F.col("__either") >= V.SAME)
+    told = issues(claim, context, F.col("__host"), F.col("__carve"), F.col("__either"), values, present, ~parties.same(F.col("__a"), F.col("__b")))
+    found = found.withColumn("issues", told)
+    against = F.arrays_overlap("issues", listed(V.CONTRADICTIONS)) & (F.col("__either") >= V.SAME)
     return found.withColumn("status", F.when(F.size("issues") == 0, "supported").when(against, "contradicted").otherwise("unsupported")).drop(*_STAGED)
 
 
@@ -126,8 +127,11 @@ def definitions(documents: DataFrame) -> DataFrame:
 
 
 def conflicting_definitions(documents: DataFrame, agreement: float = 0.6) -> DataFrame:
-    """document_id and term of terms with two definitions that share less than `agreement` of either's words."""
-    found = definitions(documents)
+    """document_id and term of terms with two definitions that share less than `agreement` of either's words.
+
+    Definitions of the same words are one; different ones of a term are compared with each other.
+    """
+    found = definitions(documents).select("document_id", "pos", "term", F.array_sort("body").alias("body")).groupBy("document_id", "term", "body").agg(F.min("pos").alias("pos"))
     a, b = found.alias("a"), found.alias("b")
     shared = F.size(F.array_intersect("a.body", "b.body"))
     pair = (F.col("a.document_id") == F.col("b.document_id")) & (F.col("a.term") == F.col("b.term")) & (F.col("a.pos") < F.col("b.pos"))

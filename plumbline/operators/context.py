@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocabulary as V
+from ..functions.constants import one_of
 
 #: First words and phrases by which a sentence points back, and how many carve-outs a context takes in.
 OPENERS = ("this", "that", "these", "those", "such", "however", "notwithstanding", "provided", "except", "but", "nothing", "no", "neither", "subject")
@@ -18,7 +19,7 @@ def is_carve_out(sentence: Column) -> Column:
     """Whether a sentence points back and restricts: it negates, excepts or sets a condition."""
     low = T.squash_ends(F.lower(F.coalesce(sentence, F.lit(""))))
     first = F.get(F.regexp_extract_all(low, F.lit("[a-z]+"), F.lit(0)), F.lit(0))
-    points = first.isin(*OPENERS) | low.rlike("^(?:" + "|".join(OPENING_PHRASES) + ")")
+    points = one_of(first, OPENERS) | low.rlike("^(?:" + "|".join(OPENING_PHRASES) + ")")
     return F.coalesce(points, F.lit(False)) & (T.is_negative(sentence) | T.has_any(sentence, V.EXCEPTIONS) | T.is_conditional(sentence))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocabulary as V
+from ..functions.constants import listed, one_of
 
 _RUN = r"(?:[\p{L}\p{N} '\-]|(?<=[\p{L}\p{N}])\.(?=[\p{L}\p{N}]))*"
 _TOKEN = r"[a-z0-9]+(?:\.[a-z0-9]+)*"
@@ -33,16 +34,16 @@ def _before(part: Column) -> Column:
     """The name at the end of what stands before a verb; null if its last word is a role, a document noun or a stopword."""
     back = F.reverse(_tokens(F.regexp_extract(part, f"({_RUN})$", 1)))
     few = F.slice(back, 1, V.NAME_WORDS)
-    stop = F.array_position(F.transform(few, lambda w: w.isin(*V.STOPWORDS)), True)
+    stop = F.array_position(F.transform(few, lambda w: one_of(w, V.STOPWORDS)), True)
     name = F.array_join(F.reverse(F.when(stop > 0, F.slice(few, F.lit(1), (stop - 1).cast("int"))).otherwise(few)), " ")
     head = F.get(back, F.lit(0))
-    return F.when(head.isNotNull() & ~head.isin(*V.ROLES, *V.DOCUMENT_NOUNS, *V.STOPWORDS), name)
+    return F.when(head.isNotNull() & ~one_of(head, V.ROLES, V.DOCUMENT_NOUNS, V.STOPWORDS), name)
 
 
 def _agent(run: Column) -> Column:
     """The name after `by`, if all words up to the next punctuation can belong to one."""
     tokens = _tokens(run)
-    fits = F.size(tokens).between(1, V.NAME_WORDS) & ~F.exists(tokens, lambda w: w.isin(*V.ROLES, *V.DOCUMENT_NOUNS, *V.STOPWORDS))
+    fits = F.size(tokens).between(1, V.NAME_WORDS) & ~F.exists(tokens, lambda w: one_of(w, V.ROLES, V.DOCUMENT_NOUNS, V.STOPWORDS))
     return F.when(fits, F.array_join(tokens, " "))
 
 
@@ -73,7 +74,7 @@ def _alias(role: Column) -> Column:
 def parties(text: Column, names: Column) -> Column:
     """Roles, by their common name, and those of the names that occur in a text."""
     plain = without_third_parties(text)
-    roles = F.filter(T.words(plain), lambda w: w.isin(*V.ROLES))
+    roles = F.array_intersect(T.words(plain), listed(V.ROLES))
     return F.array_union(F.transform(roles, _alias), F.filter(names, lambda n: _place(plain, n) > 0))
 
 
@@ -98,4 +99,4 @@ def acting(text: Column, names: Column) -> Column:
     role_at = F.regexp_instr(plain, F.lit(_ROLE))
     first = F.array_min(F.transform(here, lambda n: F.struct(_place(plain, n).alias("at"), (-F.length(n)).alias("size"), n.alias("name"))))
     named_first = first.isNotNull() & ((role_at == 0) | (first["at"] <= role_at))
-    return F.coalesce(F.when(agent.isin(*V.ROLES), _alias(agent)), longest, F.when(named_first, first["name"]), F.when(role_at > 0, _alias(role)))
+    return F.coalesce(F.when(one_of(agent, V.ROLES), _alias(agent)), longest, F.when(named_first, first["name"]), F.when(role_at > 0, _alias(role)))

@@ -1,9 +1,7 @@
-"""The registered queries of the evidence checks and the SQL that checks them."""
+"""The queries over documents, pages, conversations and labels, and the SQL that checks them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,25 +12,8 @@ from ..operators import claims, coverage, evaluation, findings, grounding, judge
 from ..sources import sinks, uploads
 from ..streaming import jobs
 from . import oracle
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
-
-def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
+from .registry import query
+from .registry import table as _table
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "text")

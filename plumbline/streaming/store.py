@@ -73,6 +73,13 @@ def lifetimes(events: DataFrame, seconds: int, now: Column) -> DataFrame:
     return made.select("document_id", F.col("ts").alias("created_at"), "seq", ended.alias("ended_at"), fate.alias("fate"), F.coalesce("jobs", F.lit(0)).alias("jobs"))
 
 
+def known_jobs(events: DataFrame, seconds: int, now: Column) -> DataFrame:
+    """document_id, ts and seq of the jobs whose document is still there at `now`; the others were forgotten with theirs."""
+    live = lifetimes(events, seconds, now).where("fate = 'live'").select("document_id", F.col("seq").alias("__made"))
+    jobs = _placed(events, seconds).where((F.col("action") == "submit") & F.col("there"))
+    return jobs.join(live, (jobs["document_id"] == live["document_id"]) & (F.col("before.seq") == F.col("__made"))).select(jobs["document_id"], "ts", "seq")
+
+
 class DocumentStore(StatefulProcessor):
     """One document's creation time, creation's seq and number of jobs; its timer ends it."""
 

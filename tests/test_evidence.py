@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import text as T
 from plumbline.functions import values as X
 from plumbline.operators import claims, context, coverage, findings, grounding, judgements, mutations, parties, release
-from plumbline.plans.queries import ORACLES, QUERIES
+from plumbline.plans.registry import ORACLES, QUERIES
 from plumbline.sources import replies, sinks, uploads
 from plumbline.streaming import jobs
 

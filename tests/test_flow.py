@@ -6,6 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.operators import flow
+from plumbline.sources import metadata
 from plumbline.streaming import store
 
 START = dt.datetime(2024, 1, 1)
@@ -79,3 +81,115 @@ def test_a_stream_of_documents_comes_to_the_same(spark, tmp_path):
     lapsed = [(k, made + dt.timedelta(seconds=seconds), jobs) for k, made, _, _, fate, jobs in ends if fate in ("expired", "live")]
     assert sorted(expired) == sorted(lapsed)
     assert sorted(r["jobs"] for r in got if r["outcome"] in ("deleted", "replaced")) == sorted(e[5] for e in ends if e[4] in ("deleted", "replaced"))
+
+
+def _run(rows):
+    """Steps of each job until it fails or is done."""
+    jobs, out = {}, []
+    for job, seq, failed, given in sorted(rows, key=lambda r: (r[1], not r[2])):
+        if job is None:
+            continue
+        state = jobs.setdefault(job, {"n": 0, "passed": 0, "category": None})
+        if state["category"] or state["passed"] == len(flow.STAGES):
+            continue
+        state["n"] += 1
+        if failed:
+            state["category"] = given or flow.CATEGORIES[state["n"] - 1]
+        else:
+            state["passed"] += 1
+        k = state["n"]
+        out.append((job, seq, k, None if failed else flow.STAGES[k - 1], None if failed else (*flow.STAGES, flow.DONE)[k], state["category"]))
+    ends = []
+    for job, s in jobs.items():
+        done = s["passed"] == len(flow.STAGES)
+        status = "failed" if s["category"] else "completed" if done else "running"
+        ends.append((job, s["n"], status, flow.DONE if done else ("queued", *flow.STAGES)[s["passed"]], s["category"]))
+    return out, ends
+
+
+def test_jobs_stop_at_the_first_failure(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice([1] * 20 + list(range(40))), k, rng.random() < 0.12, rng.choice([None, "provider_timeout"])) for k in range(900)]
+    rows += [(None, 1, False, None), (50, 1, None, None)]
+    log = spark.createDataFrame([(*r, 1, "x") for r in rows], "job_id long, seq long, failed boolean, category string, step int, __n string").repartition(4)
+    steps, ends = _run([(j, s, bool(f), c) for j, s, f, c in rows])
+    assert sorted(map(tuple, flow.reported(log).collect()), key=str) == sorted(steps, key=str)
+    assert sorted(map(tuple, flow.finished(log).collect()), key=str) == sorted(ends, key=str)
+    assert "WindowGroupLimit" in flow.reported(log)._jdf.queryExecution().toString()  # few rows of a long log are shuffled
+    last = {r["job_id"]: r for r in flow.unfinished(flow.finished(log)).collect()}
+    assert all(r["status"] != "running" for r in last.values()) and last[50]["category"] == "internal_error"
+    assert flow.finished(log.limit(0)).count() == 0
+
+
+def test_notes_need_a_completed_job_and_two_findings(spark):
+    jobs = spark.createDataFrame([(1, "completed"), (2, "completed"), (3, "failed"), (4, "completed")], "job_id long, status string")
+    released = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (3, "a"), (3, "b")], "job_id long, finding_id string")
+    assert dict(flow.eligible_for_notes(jobs, released, True).collect()) == {1: "pending", 2: "skipped", 3: None, 4: "skipped"}
+    assert dict(flow.eligible_for_notes(jobs, released, False).collect())[1] == "unavailable"
+
+
+DOCUMENT = "id long, filename_sha256 string, page_count long, at long"
+
+
+def test_batches_written_again_leave_the_table_as_it_was(spark, tmp_path):
+    write = metadata.writer(str(tmp_path / "documents"))
+    batches = [[(1, "a", 3, 1), (2, "b", 1, 2)], [(1, "c", 9, 3), (3, "d", 2, 4), (3, "e", 5, 5)], [(2, "f", 7, 6)]]
+    for number, rows in enumerate(batches):
+        write(spark.createDataFrame(rows, DOCUMENT), number)
+    first = sorted(map(tuple, metadata.current(spark, str(tmp_path / "documents"), "documents", "at").collect()))
+    assert first == [(1, "a", 3, 1), (2, "b", 1, 2), (3, "d", 2, 4)]
+    for number in (1, 1, 2, 0):
+        write(spark.createDataFrame(batches[number], DOCUMENT), number)
+    assert sorted(map(tuple, metadata.current(spark, str(tmp_path / "documents"), "documents", "at").collect())) == first
+    last = metadata.current(spark, str(tmp_path / "documents"), "analysis_jobs", "at").collect()
+    assert sorted(map(tuple, last)) == [(1, "c", 9, 3), (2, "f", 7, 6), (3, "e", 5, 5)]
+
+
+def test_a_stream_that_repeats_a_batch_writes_it_once(spark, tmp_path):
+    source, table, state = str(tmp_path / "in"), str(tmp_path / "documents"), str(tmp_path / "state")
+    failed = []
+
+    def breaks(batch, number):
+        metadata.writer(table)(batch, number)
+        if number == 1 and not failed:
+            failed.append(number)
+            raise RuntimeError("lost after writing")
+
+    def run():
+        spark.readStream.schema(DOCUMENT).parquet(source).writeStream.foreachBatch(breaks).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+
+    spark.createDataFrame([(1, "a", 3, 1)], DOCUMENT).coalesce(1).write.mode("append").parquet(source)
+    run()
+    spark.createDataFrame([(1, "b", 3, 2), (2, "c", 4, 3)], DOCUMENT).coalesce(1).write.mode("append").parquet(source)
+    with pytest.raises(Exception, match="lost after writing"):
+        run()
+    run()
+    assert failed == [1]
+    assert spark.read.parquet(f"{table}/batch=*").count() == 3
+    assert sorted(map(tuple, metadata.current(spark, table, "documents", "at").collect())) == [(1, "a", 3, 1), (2, "c", 4, 3)]
+
+
+def test_rows_of_failed_jobs_keep_nothing_that_was_proposed(spark):
+    jobs = spark.createDataFrame(
+        [(1, 7, "completed", "en", None, 5, "p", "m", "r", "n", "completed"), (2, 7, "failed", "en", "timeout", 5, "p", "m", "r", "n", None), (3, 8, "completed", "ta", None, None, " ", None, None, None, "disabled")],
+        "id long, document_id long, status string, language string, failure_kind string, duration_ms long, provider string, model string, notes_provider string, notes_model string, notes_status string",
+    )
+    findings = spark.createDataFrame([(1, True), (1, False), (2, True), (None, True)], "analysis_id long, released boolean")
+    notes = spark.createDataFrame([(1, True), (2, False)], "analysis_id long, released boolean")
+    got = {r["id"]: r.asDict() for r in metadata.analysis_rows(jobs, findings, notes).collect()}
+    assert (got[1]["provider"], got[1]["reasoning_model"], got[1]["proposed_count"], got[1]["released_count"], got[1]["withheld_count"], got[1]["notes_released_count"]) == ("p", "n", 2, 1, 1, 1)
+    assert (got[2]["status"], got[2]["provider"], got[2]["proposed_count"], got[2]["failure_kind"]) == ("failed", None, 0, "timeout")
+    assert (got[3]["provider"], got[3]["verification_policy_version"], got[3]["reasoning_status"], got[3]["released_count"]) == (None, None, "disabled", 0)
+    released = spark.createDataFrame([(1, "f_001", "t", "c", "q", 2, None, "verified", True), (1, "f_002", "t", "c", "q", 2, None, "partially_verified", True)], "analysis_id long, finding_id string, type string, claim string, quote string, page int, section string, status string, explanation_verified boolean")
+    assert [(r["analysis_job_id"], r["finding_id"], r["page_number"]) for r in metadata.finding_rows(released).collect()] == [(1, "f_001", 2)]
+    answers = spark.createDataFrame([(1, "p", "m", "supported", "en", 2, 3, 0, "x"), (2, None, "m", "not_found", "ta", 0, 0, 0, None)], "document_id long, provider string, model string, status string, language string, evidence_count int, claims_checked int, claims_withheld int, translation string")
+    assert [(r["provider"], r["answer_status"], r["translation_released"]) for r in metadata.answer_rows(answers).orderBy("document_id").collect()] == [("p", "supported", True), (None, "not_found", False)]
+
+
+def test_documents_without_pages_or_names_have_rows(spark):
+    documents = spark.createDataFrame([(1, "a.PDF"), (2, None), (3, "x")], "document_id long, filename string")
+    pages = spark.createDataFrame([(1, "some words"), (1, "வணக்கம் உலகம்"), (3, None)], "document_id long, text string")
+    got = {r["id"]: r for r in metadata.document_rows(documents, pages, "s", F.lit("2024-01-01").cast("timestamp")).collect()}
+    assert (got[1]["file_extension"], got[1]["page_count"], got[1]["detected_language"]) == ("pdf", 2, "mixed")
+    assert (got[2]["filename_sha256"], got[2]["page_count"], got[2]["detected_language"]) == (None, 0, "other")
+    assert (got[3]["file_extension"], got[3]["page_count"], got[3]["detected_language"]) == ("none", 1, "other")
