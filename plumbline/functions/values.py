@@ -18,7 +18,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import vocabulary as V
-from .constants import looked_up
 from .text import normalize
 
 MARK = "\u0002"
@@ -49,161 +48,143 @@ NUMBERS = (
 )
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is computed once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 #: Types of the arrays: spans, values, dates.
 _NUMBER = "array<struct<kind:string,key:string,raw:string,unit:string,currency:string>>"
 _DATE = "array<struct<raw:string,resolved:date,ambiguous:boolean>>"
-_SPAN = "array<struct<raw:string,at:int,end:int>>"
+_SPAN = "array<struct<raw:string,a:int,z:int>>"
+_NONE = "CAST(NULL AS STRING)"
 
+# The expressions are written as SQL text: they are large, and a text is parsed in one call where columns take thousands.
 
-def _spans(text: Column, pattern: str) -> Column:
-    """Matches of a pattern with their places. The gaps are cut at a mark, for a split by the pattern itself would compile it for every text."""
-    gaps = F.split(F.regexp_replace(text, pattern, MARK), MARK)
-    zipped = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("raw"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        at = s["at"] + F.length(x["gap"])
-        end = at + F.length(x["raw"])
-        return F.struct(F.coalesce(end, at).alias("at"), F.when(x["raw"].isNull(), s["out"]).otherwise(F.array_append(s["out"], F.struct(x["raw"].alias("raw"), at.alias("at"), end.alias("end")))).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(zipped, start, step, lambda s: s["out"])).otherwise(F.array().cast(_SPAN))
-
-
-def _free(spans: Column, taken: Column) -> Column:
-    """The spans that overlap none of those taken."""
-    return F.filter(spans, lambda s: ~F.exists(taken, lambda t: (s["at"] < t["end"]) & (t["at"] < s["end"])))
+def _lit(text: str) -> str:
+    return "r'" + text + "'"  # no pattern holds a quotation mark
 
 
-def _claimed(text: Column, steps: list[tuple[str, Callable[[Column], Column]]], taken: Column) -> Column:
-    """What each step makes of its pattern's matches that overlap no span taken before; each adds its own to those."""
-    (pattern, made), *later = steps
+def _table(words: dict[str, str]) -> str:
+    return "str_to_map('" + ";".join(f"{k}={v}" for k, v in words.items()) + "', ';', '=')"
 
-    def go(own: Column) -> Column:
-        here = made(F.transform(own, lambda s: s["raw"]))
-        return F.concat(here, let(F.concat(taken, own), lambda both: _claimed(text, later, both))) if later else here
 
-    return let(_free(_spans(text, pattern), taken), go)
+def _let(name: str, value: str, body: str) -> str:
+    """body, in which name is the value, computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def value_key(figure: Column, continental: bool) -> Column:
-    """Canonical digits of a figure as written."""
-    plain = F.replace(F.replace(figure, F.lit("."), F.lit("")), F.lit(","), F.lit(".")) if continental else F.replace(figure, F.lit(","), F.lit(""))
-    whole = F.regexp_replace(F.regexp_extract(plain, r"^[0-9]*", 0), "^0+(?=.)", "")
-    part = F.regexp_replace(F.regexp_extract(plain, r"\.([0-9]*)$", 1), "0+$", "")
-    return F.when(part == "", whole).otherwise(F.concat(whole, F.lit("."), part))
+def _spans(text: str, pattern: str) -> str:
+    """Matches of a pattern with their places. The gaps are cut at a mark, for a split by the pattern itself would compile it for every text."""
+    gaps = f"split(regexp_replace({text}, {_lit(pattern)}, '\\u0002'), '\\u0002')"
+    zipped = f"arrays_zip({gaps}, regexp_extract_all({text}, {_lit(pattern)}, 0))"
+    at = "s.at + length(x.`0`)"
+    end = f"{at} + length(x.`1`)"
+    step = f"named_struct('at', ifnull({end}, {at}), 'out', IF(x.`1` IS NULL, s.out, array_append(s.out, named_struct('raw', x.`1`, 'a', {at}, 'z', {end}))))"
+    folded = f"aggregate({zipped}, named_struct('at', 0, 'out', CAST(array() AS {_SPAN})), (s, x) -> {step}, s -> s.out)"
+    return f"IF({text} RLIKE {_lit(pattern)}, {folded}, CAST(array() AS {_SPAN}))"
 
 
-def _unit(raw: Column) -> Column:
-    return F.regexp_extract(raw, r"(day|week|month|year|hour)s?$", 1)
+def _free(spans: str, taken: str) -> str:
+    """The spans that overlap none of those taken."""
+    return f"filter({spans}, s -> NOT exists({taken}, t -> s.a < t.z AND t.a < s.z))"
 
 
-def _currency(raw: Column) -> Column:
-    token = F.regexp_replace(F.regexp_replace(raw, r"[\d,.]+$|^[\d,.]+", ""), r"\s+", "")
-    token = F.regexp_replace(token, r"\.$", "")
-    table = looked_up(V.CURRENCIES)
-    return F.try_element_at(table, token)
+def _claimed(text: str, steps: list[tuple[str, Callable[[str], str]]], taken: str, depth: int = 0) -> str:
+    """What each step makes of its pattern's matches that overlap no span taken before; each adds its own to those."""
+    (pattern, made), *later = steps
+    own, both = f"own{depth}", f"both{depth}"
+    body = made(f"transform({own}, s -> s.raw)")
+    if later:
+        body = f"concat({body}, {_let(both, f'concat({taken}, {own})', _claimed(text, later, both, depth + 1))})"
+    return _let(own, _free(_spans(text, pattern), taken), body)
 
 
-def _token(kind: Column, key: Column, raw: Column, unit: Column, currency: Column) -> Column:
-    return F.struct(kind.alias("kind"), key.alias("key"), raw.alias("raw"), unit.alias("unit"), currency.alias("currency"))
+def _key(figure: str, continental: bool) -> str:
+    """Canonical digits of a figure as written."""
+    plain = f"replace(replace({figure}, '.', ''), ',', '.')" if continental else f"replace({figure}, ',', '')"
+    whole = f"regexp_replace(regexp_extract(plain, r'^[0-9]*', 0), r'^0+(?=.)', '')"
+    part = r"regexp_replace(regexp_extract(plain, r'\.([0-9]*)$', 1), r'0+$', '')"
+    return _let("plain", plain, f"rtrim('.', concat({whole}, '.', {part}))")
 
 
-def _tokens(kind: str, continental: bool, found: Column) -> Column:
-    none = F.lit(None).cast("string")
+def _token(kind: str, key: str, unit: str = _NONE, currency: str = _NONE) -> str:
+    return f"named_struct('kind', {kind}, 'key', {key}, 'raw', raw, 'unit', {unit}, 'currency', {currency})"
 
-    def one(raw: Column) -> Column:
-        figure = F.regexp_extract(raw, r"\d[\d,.]*\d|\d", 0)
-        key = value_key(figure, continental)
-        if kind == "currency":
-            return _token(F.lit("currency"), key, raw, none, _currency(raw))
-        if kind == "percentage":
-            return _token(F.lit("percentage"), key, raw, none, none)
-        if kind == "duration":
-            return _token(F.lit("duration"), key, raw, _unit(raw), none)
-        decimal = F.contains(figure, F.lit("," if continental else "."))
-        return _token(F.when(decimal, "decimal").otherwise("integer"), key, raw, none, none)
 
-    if kind != "word_duration":
-        return F.transform(found, one)
+_UNIT = r"regexp_extract(raw, r'(day|week|month|year|hour)s?$', 1)"
+_CODE = r"try_element_at(" + _table(V.CURRENCIES) + r", regexp_replace(regexp_replace(regexp_replace(raw, r'[\d,.]+$|^[\d,.]+', ''), r'\s+', ''), r'\.$', ''))"
 
-    table = looked_up({w: str(k) for w, k in V.cardinals().items()})
 
-    def both(raw: Column) -> Column:
-        word = F.try_element_at(table, F.regexp_extract(raw, rf"^({_CARDINAL})\b", 1))
-        numeral = value_key(F.regexp_extract(raw, r"\(\s*(\d[\d,]*)\s*\)", 1), False)
-        first = _token(F.lit("duration"), word, raw, _unit(raw), none)
-        second = _token(F.lit("duration"), numeral, raw, _unit(raw), none)
-        return F.when((numeral != "") & (numeral != word), F.array(first, second)).otherwise(F.array(first))
+def _tokens(kind: str, continental: bool, found: str) -> str:
+    figure = r"regexp_extract(raw, r'\d[\d,.]*\d|\d', 0)"
+    key = _key(figure, continental)
+    if kind == "word_duration":
+        word = f"try_element_at({_table({w: str(k) for w, k in V.cardinals().items()})}, regexp_extract(raw, r'^({_CARDINAL})\\b', 1))"
+        numeral = _key(r"regexp_extract(raw, r'\(\s*(\d[\d,]*)\s*\)', 1)", False)
+        both = f"IF(numeral <> '' AND numeral <> word, array({_token(repr('duration'), 'word', _UNIT)}, {_token(repr('duration'), 'numeral', _UNIT)}), array({_token(repr('duration'), 'word', _UNIT)}))"
+        return f"flatten(transform({found}, raw -> {_let('word', word, _let('numeral', numeral, both))}))"
+    if kind == "number":
+        token = _token(f"IF(contains({figure}, '{',' if continental else '.'}'), 'decimal', 'integer')", key)
+    else:
+        token = _token(repr(kind), key, _UNIT if kind == "duration" else _NONE, _CODE if kind == "currency" else _NONE)
+    return f"transform({found}, raw -> {token})"
 
-    return F.flatten(F.transform(found, both))
 
+def _resolved(kind: str) -> tuple[str, str]:
+    """The calendar date, or null; and whether the written form leaves it open. `n` holds the figures."""
 
-def numbers(text: Column, folded: bool = False) -> Column:
-    """array of (kind, key, raw, unit, currency), by pattern and then by place; `folded` if the text is normalised already."""
-    steps = [(pattern, lambda found, k=kind, c=continental: _tokens(k, c, found)) for kind, continental, pattern in NUMBERS]
+    def date(y: str, m: str, d: str) -> str:
+        return f"try_to_date(concat_ws('-', {y}, lpad({m}, 2, '0'), lpad({d}, 2, '0')), 'yyyy-MM-dd')"
 
-    return let(_readable(text, folded), lambda t: F.when(_may_hold(t), let(_date_spans(t), lambda taken: _claimed(t, steps, taken))).otherwise(F.array().cast(_NUMBER)))
+    if kind == "iso":
+        out = date("n[0]", "n[1]", "n[2]")
+        return out, f"{out} IS NULL"
+    if kind != "numeric":
+        out = date("n[1]", f"try_element_at({_table({m: str(k) for m, k in V.months().items()})}, regexp_extract(raw, r'({_MONTH})', 1))", "n[0]")
+        return out, f"{out} IS NULL"
+    a, b = "int(n[0])", "int(n[1])"
+    day_first = f"({a} > 12 AND {b} <= 12)"
+    clear = f"(length(n[2]) = 4 AND ({a} = {b} OR {day_first} OR ({b} > 12 AND {a} <= 12)))"
+    return f"IF({clear}, {date('n[2]', f'IF({day_first}, n[1], n[0])', f'IF({day_first}, n[0], n[1])')}, NULL)", f"NOT {clear}"
 
 
-def _readable(text: Column, folded: bool) -> Column:
-    """The text folded, with the mark that this module uses out of the way."""
-    return F.translate(text if folded else normalize(text), MARK, " ")
+def _dates(kind: str, found: str) -> str:
+    resolved, open_ = _resolved(kind)
+    token = f"named_struct('raw', raw, 'resolved', {resolved}, 'ambiguous', {open_})"
+    return f"transform({found}, raw -> {_let('n', 'regexp_extract_all(raw, ' + _lit('[0-9]+') + ', 0)', token)})"
 
 
-def _may_hold(text: Column) -> Column:
-    """Whether a text can hold a value at all: it has a digit, or a unit of time."""
-    return text.rlike(r"\d|(?:day|week|month|year|hour)")
+def _date_spans() -> str:
+    out = f"CAST(array() AS {_SPAN})"
+    for k, (_, pattern) in enumerate(DATES):
+        out = _let(f"seen{k}", out, f"concat(seen{k}, {_free(_spans('txt', pattern), f'seen{k}')})")
+    return f"IF(txt RLIKE r'\\d', {out}, CAST(array() AS {_SPAN}))"
 
 
-def _date_spans(text: Column) -> Column:
-    def add(taken: Column, patterns: list[str]) -> Column:
-        return let(F.concat(taken, _free(_spans(text, patterns[0]), taken)), lambda both: add(both, patterns[1:])) if patterns else taken
+def _numbers_sql() -> str:
+    steps = [(pattern, lambda found, k=kind, c=continental: _tokens(k, c, found)) for kind, continental, pattern in NUMBERS]
+    return f"IF(txt RLIKE r'\\d|(?:day|week|month|year|hour)', {_let('taken', _date_spans(), _claimed('txt', steps, 'taken'))}, CAST(array() AS {_NUMBER}))"
 
-    out = add(F.array().cast(_SPAN), [pattern for _, pattern in DATES])
-    return F.when(text.rlike(r"\d"), out).otherwise(F.array().cast(_SPAN))
 
+def _dates_sql() -> str:
+    steps = [(pattern, lambda found, k=kind: _dates(k, found)) for kind, pattern in DATES]
+    return f"IF(txt RLIKE r'\\d', {_claimed('txt', steps, f'CAST(array() AS {_SPAN})')}, CAST(array() AS {_DATE}))"
 
-def _resolved(kind: str, raw: Column) -> tuple[Column, Column]:
-    """The calendar date, or null; and whether the written form leaves it open."""
 
-    def date(y: Column, m: Column, d: Column) -> Column:
-        return F.try_to_date(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
+_NUMBERS_SQL, _DATES_SQL = _numbers_sql(), _dates_sql()
 
-    parts = [F.get(F.regexp_extract_all(raw, F.lit(r"\d+"), F.lit(0)), F.lit(k)) for k in range(3)]
-    if kind == "iso":
-        out = date(parts[0], parts[1], parts[2])
-        return out, out.isNull()
-    if kind != "numeric":
-        table = looked_up({m: str(k) for m, k in V.months().items()})
-        month = F.try_element_at(table, F.regexp_extract(raw, rf"({_MONTH})", 1))
-        out = date(parts[1], month, parts[0])
-        return out, out.isNull()
-    a, b = parts[0].cast("int"), parts[1].cast("int")
-    full = F.length(parts[2]) == 4
-    day_first = (a > 12) & (b <= 12)
-    clear = full & ((a == b) | day_first | ((b > 12) & (a <= 12)))
-    month, day = F.when(day_first, parts[1]).otherwise(parts[0]), F.when(day_first, parts[0]).otherwise(parts[1])
-    return F.when(clear, date(parts[2], month, day)), ~clear
 
+def _over(text: Column, folded: bool, body: str) -> Column:
+    """The expression of `txt` over a text, folded, with the mark that this module uses out of the way."""
+    plain = F.translate(text if folded else normalize(text), MARK, " ")
+    return F.get(F.call_function("transform", F.array(plain), F.expr(f"txt -> {body}")), F.lit(0))
 
-def _dates(kind: str, found: Column) -> Column:
-    def one(raw: Column) -> Column:
-        resolved, ambiguous = _resolved(kind, raw)
-        return F.struct(raw.alias("raw"), resolved.alias("resolved"), ambiguous.alias("ambiguous"))
 
-    return F.transform(found, one)
+def numbers(text: Column, folded: bool = False) -> Column:
+    """array of (kind, key, raw, unit, currency), by pattern and then by place; `folded` if the text is normalised already."""
+    return _over(text, folded, _NUMBERS_SQL)
 
 
 def dates(text: Column, folded: bool = False) -> Column:
     """array of (raw, resolved, ambiguous), by pattern and then by place."""
-    steps = [(pattern, lambda found, k=kind: _dates(k, found)) for kind, pattern in DATES]
-    none = F.array().cast(_SPAN)
-    return let(_readable(text, folded), lambda t: F.when(t.rlike(r"\d"), _claimed(t, steps, none)).otherwise(F.array().cast(_DATE)))
+    return _over(text, folded, _DATES_SQL)
 
 
 def _matches(own: Column, other: Column) -> Column:
