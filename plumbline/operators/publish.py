@@ -71,6 +71,7 @@ def claim_reasons(rows: DataFrame) -> DataFrame:
 
 def decided(rows: DataFrame, pages: DataFrame, language: str = "en") -> DataFrame:
     """checked() rows (with type, section, explanation, explanation_translation) with `released` and what is shown of each."""
+    rows = staged(rows, "findings")  # read for the explanations and for the rows
     shown = rows.where(displayable(F.col("status")))
     explained = judgements.explanations(shown.select("finding_id", "explanation", "context"))
     explained = explained.select("finding_id", F.col("explanation").alias("__explanation"), "explanation_verified", F.col("reason").alias("__reason"))

@@ -12,12 +12,17 @@ from ..functions import vocabulary as V
 
 def attention(text: Column) -> Column:
     """info, review or high, from five features the text has."""
-    kinds = F.transform(X.numbers(text), lambda t: t["kind"])
-    money, period = F.array_contains(kinds, "currency"), F.array_contains(kinds, "duration")
-    ban = T.has_any(T.normalize(text), V.PROHIBITIONS)
-    signals = [ban, T.has_any(T.normalize(text), V.OBLIGATIONS), money, period | (F.size(X.dates(text)) > 0), T.has_any(T.normalize(text), V.CONSEQUENCES)]
-    count = sum((s.cast("int") for s in signals[1:]), signals[0].cast("int"))
-    return F.when((count >= 4) | (ban & (money | period)), "high").when(count >= 1, "review").otherwise("info")
+    folded = T.normalize(text)
+    found = F.struct(folded.alias("t"), F.transform(X.numbers(text), lambda v: v["kind"]).alias("kinds"), (F.size(X.dates(text)) > 0).alias("dated"))
+
+    def level(x: Column) -> Column:
+        money, period = F.array_contains(x["kinds"], "currency"), F.array_contains(x["kinds"], "duration")
+        ban = T.has_any(x["t"], V.PROHIBITIONS)
+        signals = [ban, T.has_any(x["t"], V.OBLIGATIONS), money, period | x["dated"], T.has_any(x["t"], V.CONSEQUENCES)]
+        count = sum((s.cast("int") for s in signals[1:]), signals[0].cast("int"))
+        return F.when((count >= 4) | (ban & (money | period)), "high").when(count >= 1, "review").otherwise("info")
+
+    return F.get(F.transform(F.array(found), level), F.lit(0))  # values are read once, however often they are asked for
 
 
 def numbered(findings: DataFrame, prefix: str = "f", group: str = "analysis_id") -> DataFrame:
