@@ -51,7 +51,7 @@ NUMBERS = (
 #: Types of the arrays: spans, values, dates.
 _NUMBER = "array<struct<kind:string,key:string,raw:string,unit:string,currency:string>>"
 _DATE = "array<struct<raw:string,resolved:date,ambiguous:boolean>>"
-_SPAN = "array<struct<raw:string,a:int,z:int>>"
+_SPAN = "array<struct<k:int,raw:string,a:int,z:int>>"
 _NONE = "CAST(NULL AS STRING)"
 
 # The expressions are written as SQL text: they are large, and a text is parsed in one call where columns take thousands.
@@ -70,30 +70,26 @@ def _let(name: str, value: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _spans(text: str, pattern: str) -> str:
-    """Matches of a pattern with their places. The gaps are cut at a mark, for a split by the pattern itself would compile it for every text."""
+def _spans(text: str, pattern: str, k: int) -> str:
+    """Matches of a pattern, with its number and their places. The gaps are cut at a mark, for a split by the pattern itself would compile it for every text."""
     gaps = f"split(regexp_replace({text}, {_lit(pattern)}, '\\u0002'), '\\u0002')"
     zipped = f"arrays_zip({gaps}, regexp_extract_all({text}, {_lit(pattern)}, 0))"
     at = "s.at + length(x.`0`)"
     end = f"{at} + length(x.`1`)"
-    step = f"named_struct('at', ifnull({end}, {at}), 'out', IF(x.`1` IS NULL, s.out, array_append(s.out, named_struct('raw', x.`1`, 'a', {at}, 'z', {end}))))"
+    step = f"named_struct('at', ifnull({end}, {at}), 'out', IF(x.`1` IS NULL, s.out, array_append(s.out, named_struct('k', {k}, 'raw', x.`1`, 'a', {at}, 'z', {end}))))"
     folded = f"aggregate({zipped}, named_struct('at', 0, 'out', CAST(array() AS {_SPAN})), (s, x) -> {step}, s -> s.out)"
     return f"IF({text} RLIKE {_lit(pattern)}, {folded}, CAST(array() AS {_SPAN}))"
 
 
-def _free(spans: str, taken: str) -> str:
-    """The spans that overlap none of those taken."""
-    return f"filter({spans}, s -> NOT exists({taken}, t -> s.a < t.z AND t.a < s.z))"
+def _claimed(text: str, patterns: list[str]) -> str:
+    """Spans in the order of the patterns, without those that overlap an earlier one. Matches of one pattern never overlap, so one fold decides."""
+    every = f"flatten(array({', '.join(_spans(text, p, k) for k, p in enumerate(patterns))}))"
+    return f"aggregate({every}, CAST(array() AS {_SPAN}), (acc, s) -> IF(exists(acc, t -> s.a < t.z AND t.a < s.z), acc, array_append(acc, s)))"
 
 
-def _claimed(text: str, steps: list[tuple[str, Callable[[str], str]]], taken: str, depth: int = 0) -> str:
-    """What each step makes of its pattern's matches that overlap no span taken before; each adds its own to those."""
-    (pattern, made), *later = steps
-    own, both = f"own{depth}", f"both{depth}"
-    body = made(f"transform({own}, s -> s.raw)")
-    if later:
-        body = f"concat({body}, {_let(both, f'concat({taken}, {own})', _claimed(text, later, both, depth + 1))})"
-    return _let(own, _free(_spans(text, pattern), taken), body)
+def _made(k: int, make: Callable[[str], str]) -> str:
+    """What the claimed spans of one pattern come to."""
+    return make(f"transform(filter(claimed, s -> s.k = {k}), s -> s.raw)")
 
 
 def _key(figure: str, continental: bool) -> str:
@@ -151,21 +147,17 @@ def _dates(kind: str, found: str) -> str:
     return f"transform({found}, raw -> {_let('n', 'regexp_extract_all(raw, ' + _lit('[0-9]+') + ', 0)', token)})"
 
 
-def _date_spans() -> str:
-    out = f"CAST(array() AS {_SPAN})"
-    for k, (_, pattern) in enumerate(DATES):
-        out = _let(f"seen{k}", out, f"concat(seen{k}, {_free(_spans('txt', pattern), f'seen{k}')})")
-    return f"IF(txt RLIKE r'\\d', {out}, CAST(array() AS {_SPAN}))"
-
-
 def _numbers_sql() -> str:
-    steps = [(pattern, lambda found, k=kind, c=continental: _tokens(k, c, found)) for kind, continental, pattern in NUMBERS]
-    return f"IF(txt RLIKE r'\\d|(?:day|week|month|year|hour)', {_let('taken', _date_spans(), _claimed('txt', steps, 'taken'))}, CAST(array() AS {_NUMBER}))"
+    patterns = [p for _, p in DATES] + [p for _, _, p in NUMBERS]
+    parts = [_made(len(DATES) + k, lambda found, kind=kind, c=c: _tokens(kind, c, found)) for k, (kind, c, _) in enumerate(NUMBERS)]
+    body = _let("claimed", _claimed("txt", patterns), f"concat({', '.join(parts)})")
+    return f"IF(txt RLIKE r'\\d|(?:day|week|month|year|hour)', {body}, CAST(array() AS {_NUMBER}))"
 
 
 def _dates_sql() -> str:
-    steps = [(pattern, lambda found, k=kind: _dates(k, found)) for kind, pattern in DATES]
-    return f"IF(txt RLIKE r'\\d', {_claimed('txt', steps, f'CAST(array() AS {_SPAN})')}, CAST(array() AS {_DATE}))"
+    parts = [_made(k, lambda found, kind=kind: _dates(kind, found)) for k, (kind, _) in enumerate(DATES)]
+    body = _let("claimed", _claimed("txt", [p for _, p in DATES]), f"concat({', '.join(parts)})")
+    return f"IF(txt RLIKE r'\\d', {body}, CAST(array() AS {_DATE}))"
 
 
 _NUMBERS_SQL, _DATES_SQL = _numbers_sql(), _dates_sql()

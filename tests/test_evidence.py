@@ -157,8 +157,8 @@ def test_mutations_apply_once(spark):
     text = "If late, the Tenant shall pay $5 within 3 days and shall notify, unless excused."
     got = spark.createDataFrame([(text,)], "t string").select(*[v.alias(k) for k, v in mutations.mutations(F.col("t")).items()]).first()
     assert got.polarity == text.replace("shall", "shall not", 1) and got.modality == text.replace("shall", "may", 1)
-    assert got.currency == text.replace("$", "£") and got.limit == text.replace("within", "after") and got.quantity == text.replace("5", "97531")
-    assert got.condition == text.removeprefix("If late, ") and got.exception == text.replace(", unless excused", "") and got.scope is None
+    assert got.currency == text.replace("$", "£") and got.limit == text.replace("within", "after") and got.quantity == text.replace("5", "6")
+    assert got.condition == text.removeprefix("If late, t").replace("he", "The", 1) and got.exception == text.replace(", unless excused", "") and got.scope is None
 
 
 def test_commands_are_told_from_provisions(spark):
