@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.constants import looked_up
-from ..sources.staging import staged
+from ..sources.staging import spread, staged
 from . import claims, coverage, findings, judgements, release
 
 #: The reasons that concern the claim, and what a reader is told for each reason.
@@ -76,7 +76,7 @@ def decided(rows: DataFrame, pages: DataFrame, language: str = "en") -> DataFram
     explained = judgements.explanations(shown.select("finding_id", "explanation", "context"))
     explained = explained.select("finding_id", F.col("explanation").alias("__explanation"), "explanation_verified", F.col("reason").alias("__reason"))
     text = pages.where(F.col("status").isin("processed", "empty")).select("document_id", F.col("page_number").alias("page"), F.coalesce("text", F.lit("")).alias("__text"))
-    joined = rows.join(explained, "finding_id", "left").join(text, ["document_id", "page"], "left")
+    joined = spread(rows.join(explained, "finding_id", "left"), "document_id", "page").join(text, ["document_id", "page"], "left")
     out = displayable(F.col("status")) & F.col("__reason").isNull()
     verified = out & F.coalesce("explanation_verified", F.lit(False))
     other = F.lit(language != "en") & (F.coalesce("__explanation", F.lit("")) != "")
