@@ -25,6 +25,10 @@ def composed(text: Column) -> Column:
     return F.when(text.rlike(V.MAY_COMPOSE), called).otherwise(text)
 
 
+#: Ranges that hold every character of ZERO_WIDTH, LIGATURES and PUNCTUATION; a class of single characters is tested one by one.
+_FOLDED = r"[\u00ad\u2000-\u22ff\ufb00-\ufeff]"
+
+
 def normalize(text: Column, fold_case: bool = True) -> Column:
     """Folds ligatures, typographic marks and white space, joins words broken at line ends; digits stay. Null becomes empty."""
     given = F.coalesce(text, F.lit(""))
@@ -33,7 +37,7 @@ def normalize(text: Column, fold_case: bool = True) -> Column:
         out = F.replace(out, F.lit(old), F.lit(new))
     single = {k: v for k, v in V.PUNCTUATION.items() if len(v) == 1}
     out = F.translate(out, "".join(single), "".join(single.values()))
-    out = F.when(given.rlike(f"[{''.join([*V.ZERO_WIDTH, *V.LIGATURES, *V.PUNCTUATION])}]"), out).otherwise(given)  # most texts hold none of these
+    out = F.when(given.rlike(_FOLDED), out).otherwise(given)  # most texts hold none of these
     out = F.regexp_replace(out, r"(?<=\p{L})-[ \t]*[\r\n]+[ \t]*(?=\p{L})", "")
     out = squash(out)
     return F.replace(F.lower(out), F.lit("ß"), F.lit("ss")) if fold_case else out

@@ -21,9 +21,8 @@ def as_written(page: Column, raw: Column) -> Column:
 def value_index(pages: DataFrame) -> DataFrame:
     """document_id, page_number, kind, value, ambiguous: values of each page once, the first in extraction order."""
     folded = pages.where(F.col("text").rlike("[0-9]") | F.lower("text").rlike("(day|week|month|year|hour)s?")).select("document_id", "page_number", "text", T.normalize(F.col("text")).alias("folded"))
-    numbers = F.transform(F.filter(X.numbers(F.col("folded"), True), lambda t: t["kind"].isin(*KINDS)), lambda t: F.struct(t["kind"].alias("kind"), t["raw"].alias("raw"), F.lit(False).alias("ambiguous")))
-    dates = F.transform(X.dates(F.col("folded"), True), lambda d: F.struct(F.lit("date").alias("kind"), d["raw"].alias("raw"), d["ambiguous"].alias("ambiguous")))
-    rows = folded.select("document_id", "page_number", "text", F.posexplode(F.concat(numbers, dates)).alias("pos", "v"))
+    found = F.filter(X.written(F.col("folded"), True), lambda v: v["kind"].isin(*KINDS))
+    rows = folded.select("document_id", "page_number", "text", F.posexplode(found).alias("pos", "v"))
     rows = rows.select("document_id", "page_number", "pos", "v.kind", as_written(F.col("text"), F.col("v.raw")).alias("value"), "v.ambiguous")
     first = Window.partitionBy("document_id", "page_number", "kind", F.lower("value")).orderBy("pos")
     return rows.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n", "pos")
