@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.constants import looked_up
-from ..sources.staging import spread, staged
+from ..sources.staging import once, spread, staged
 from . import claims, coverage, findings, judgements, release
 
 #: The reasons that concern the claim, and what a reader is told for each reason.
@@ -82,6 +82,8 @@ def decided(rows: DataFrame, pages: DataFrame, language: str = "en") -> DataFram
     other = F.lit(language != "en") & (F.coalesce("__explanation", F.lit("")) != "")
     evidence = F.when(~T.is_blank(F.col("context")), F.col("context")).otherwise(F.coalesce("quote", F.lit("")))
     refused = displayable(F.col("status")) & F.col("__reason").isNotNull()
+    # what attention asks for does not depend on figures
+    joined = once(joined.withColumn("__evidence", evidence), {"__shape": T.shape(F.col("__evidence"))}, lambda t: t.withColumn("__attention", release.attention(F.col("__shape"))))
     return joined.select(
         *[c for c in rows.columns if c not in ("status", "reasons", "type", "section", "explanation", "explanation_translation")],
         F.when(refused, "rejected").otherwise(F.col("status")).alias("status"),
@@ -93,7 +95,7 @@ def decided(rows: DataFrame, pages: DataFrame, language: str = "en") -> DataFram
         F.when(out, F.coalesce("__explanation", F.lit(""))).alias("explanation"),
         verified.alias("explanation_verified"),
         F.when(out & other, judgements.translation(F.col("explanation_translation"), verified, F.col("context"))).alias("translation"),
-        F.when(out, release.attention(evidence)).alias("attention"),
+        F.when(out, F.col("__attention")).alias("attention"),
     )
 
 

@@ -13,12 +13,12 @@ from ..functions import vocabulary as V
 def attention(text: Column) -> Column:
     """info, review or high, from five features the text has."""
     folded = T.normalize(text)
-    found = F.struct(folded.alias("t"), F.transform(X.numbers(text), lambda v: v["kind"]).alias("kinds"), (F.size(X.dates(text)) > 0).alias("dated"))
+    found = F.struct(folded.alias("t"), X.kinds_at(X.places(folded, True)).alias("kinds"))
 
     def level(x: Column) -> Column:
         money, period = F.array_contains(x["kinds"], "currency"), F.array_contains(x["kinds"], "duration")
         ban = T.has_any(x["t"], V.PROHIBITIONS)
-        signals = [ban, T.has_any(x["t"], V.OBLIGATIONS), money, period | x["dated"], T.has_any(x["t"], V.CONSEQUENCES)]
+        signals = [ban, T.has_any(x["t"], V.OBLIGATIONS), money, period | F.array_contains(x["kinds"], "date"), T.has_any(x["t"], V.CONSEQUENCES)]
         count = sum((s.cast("int") for s in signals[1:]), signals[0].cast("int"))
         return F.when((count >= 4) | (ban & (money | period)), "high").when(count >= 1, "review").otherwise("info")
 
