@@ -70,7 +70,7 @@ def names_in(plain: Column) -> Column:
         return F.transform(pairs, lambda x: F.when(~x["passive"], _before(x["part"])))
 
     # a split compiles its pattern for every text, and a value that lambdas use is computed anew each time unless it is one of their arguments
-    cut = F.when(plain.rlike(_VERB), F.get(F.transform(F.array(F.split(plain, _VERB)), active), F.lit(0))).otherwise(none)
+    cut = F.when(plain.rlike(_VERB), F.element_at(F.transform(F.array(F.split(plain, _VERB)), active), 1)).otherwise(none)
     runs = F.when(plain.rlike(r"\bby\s") & plain.rlike(_PASSIVE), F.regexp_extract_all(plain, F.lit(rf"\bby\s+(?=({_RUN}))"), F.lit(1))).otherwise(none)
     return F.array_distinct(F.array_compact(F.concat(cut, F.transform(runs, _agent))))
 
@@ -107,7 +107,7 @@ def placed(plain: Column, names: Column) -> Column:
         rows = F.transform(names, lambda n: F.struct(_place(t, n).alias("at"), (-F.length(n)).alias("size"), n.alias("name")))
         return F.filter(rows, lambda x: x["at"] > 0)
 
-    return F.get(F.transform(F.array(plain), found), F.lit(0))
+    return F.element_at(F.transform(F.array(plain), found), 1)
 
 
 def parties_in(plain: Column, here: Column) -> Column:
@@ -162,4 +162,4 @@ def acting_of(agent: Column, role: Column, role_at: Column, here: Column) -> Col
         by = F.when((x["agent"] != "") & one_of(x["agent"], V.ROLES), _alias(x["agent"]))
         return F.coalesce(by, longest, F.when(named_first, first["name"]), F.when(x["role"] != "", _alias(x["role"])))
 
-    return F.get(F.transform(F.array(given), chosen), F.lit(0))
+    return F.element_at(F.transform(F.array(given), chosen), 1)
